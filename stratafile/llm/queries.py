@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding
+from . import bpe, covertree, neardup, packing, sharding, urlrules, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: host, path, verdict
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op3_url_rule_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rule_table(spark, URL_RULES))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = packing.pack(docs, public_tokenizers.path(BYTE_BPE))
@@ -30,13 +42,68 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    ends = warc.read(archives, with_chunks=False).where("is_last")
+    return ends.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_weighted_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op6_bpe_round_trip, op9_weighted_tree_sharding)}
+    return {f.__name__: f for f in (op1_cover_tree_near_dedup, op3_url_rule_sweep, op4_best_fit_packing, op6_bpe_round_trip, op7_odd_sketch_near_dedup, op8_warc_round_trip, op9_weighted_tree_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_cover_tree_near_dedup": """
+            WITH RECURSIVE v AS (
+              SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+              WHERE label IS NOT NULL AND embedding IS NOT NULL),
+            u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE sqrt(list_dot_product(e, e)) > 0),
+            l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+              WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+            r AS (SELECT x AS a, y AS b FROM l UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x)
+            SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id)::BIGINT AS n_links,
+              least(e.vec_id, coalesce((SELECT min(b) FROM r WHERE r.a = e.vec_id), e.vec_id)) AS component_id,
+              e.vec_id = least(e.vec_id, coalesce((SELECT min(b) FROM r WHERE r.a = e.vec_id), e.vec_id)) AS kept
+            FROM embeddings e""",
+        "op3_url_rule_sweep": f"""
+            WITH rules(host, path, said) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+            cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+            parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urlrules.UPPER}', '{urlrules.LOWER}') AS host,
+              regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
+            pairs AS (SELECT DISTINCT host, path FROM parts),
+            fits AS (SELECT p.host, p.path, r.host || r.path AS rule, r.said,
+              row_number() OVER (PARTITION BY p.host, p.path ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS k
+              FROM pairs p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+            SELECT a.page_id, a.host, a.path, f.rule, coalesce(f.said, 'allow') AS verdict
+            FROM parts a LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON a.host = f.host AND a.path = f.path""",
+        "op7_odd_sketch_near_dedup": r"""
+            WITH RECURSIVE w AS (
+              SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+            g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(words) - 3, 2)), lambda i: array_to_string(words[i:i+4], ' '))) AS grams FROM w WHERE len(words) > 0),
+            n AS (SELECT doc_id, len(grams)::BIGINT AS n FROM g),
+            e AS (SELECT doc_id, unnest(grams) AS gram FROM g),
+            l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+              JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+              GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(p.n) + any_value(q.n) - count(*))),
+            r AS (SELECT x AS a, y AS b FROM l UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+            m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+            SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id,
+              d.doc_id = least(d.doc_id, coalesce(m.least, d.doc_id)) AS kept
+            FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id""",
+        "op8_warc_round_trip": """
+            WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+            f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+            SELECT p.page_id, p.payload_bytes::BIGINT AS payload_bytes, p.payload_digest,
+              CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+              CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+            FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100""",
+    }
