@@ -19,6 +19,7 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+`` (fixed values).
 WORD_GAP = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -148,3 +149,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     least = roots.df.groupBy("to").agg(F.min("node").alias("component"))
     # the root itself is a node of the first round, so the smallest node of a root is the smallest of its component
     return roots.df.join(least, "to").select("node", "component")
+
+
+#: Rows of one or two numbers that may be broadcast: about 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def when_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for a broadcast if it was counted to be within ``rows``; else as it is, for a shuffled join."""
+    table = Table(df, "side").df
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, neardup, packing, sharding, urlrules, warc
+from . import bpe, covertree, neardup, packing, quality_gam, quality_rules, sharding, urlrules, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -21,6 +21,10 @@ def op1_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_pairwise_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 #: host, path, verdict
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -35,6 +39,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    found = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path(BYTE_BPE)
@@ -57,7 +67,7 @@ def op9_weighted_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree_near_dedup, op3_url_rule_sweep, op4_best_fit_packing, op6_bpe_round_trip, op7_odd_sketch_near_dedup, op8_warc_round_trip, op9_weighted_tree_sharding)}
+    return {f.__name__: f for f in (op1_cover_tree_near_dedup, op2_pairwise_gam_quality, op3_url_rule_sweep, op4_best_fit_packing, op5_ngram_ratio_rules, op6_bpe_round_trip, op7_odd_sketch_near_dedup, op8_warc_round_trip, op9_weighted_tree_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
