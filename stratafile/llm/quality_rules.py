@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ._shared import WORD, WORD_GAP, Table, when_small
 
 BUCKETS = 1 << 16
-LEAST_RATIO = -0.35
+LEAST_RATIO = -0.25
 SMOOTHING = 1.0
 SYMBOLS = "#*$%&|<>"
 GAPS = " \t\n\x0b\x0c\r"

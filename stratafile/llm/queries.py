@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, neardup, packing, quality_gam, quality_rules, sharding, urlrules, warc
+from . import bpe, covertree, neardup, packing, pii, quality_gam, quality_rules, sharding, urlrules, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -66,8 +66,12 @@ def op9_weighted_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree_near_dedup, op2_pairwise_gam_quality, op3_url_rule_sweep, op4_best_fit_packing, op5_ngram_ratio_rules, op6_bpe_round_trip, op7_odd_sketch_near_dedup, op8_warc_round_trip, op9_weighted_tree_sharding)}
+    return {f.__name__: f for f in (op1_cover_tree_near_dedup, op2_pairwise_gam_quality, op3_url_rule_sweep, op4_best_fit_packing, op5_ngram_ratio_rules, op6_bpe_round_trip, op7_odd_sketch_near_dedup, op8_warc_round_trip, op9_weighted_tree_sharding, op10_bootstrapped_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
