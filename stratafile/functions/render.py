@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Seconds of the zero of Windows file times (fixed value).
+FILE_TIME_ZERO = -11_644_473_600
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -15,7 +17,7 @@ def iso(ts: Column) -> Column:
 def iso_from_ns(ns: Column) -> Column:
     """Whole seconds, rounded down; the zero of file times is year 1."""
     seconds = F.floor(ns / F.lit(1_000_000_000).cast("decimal(20,0)")).cast("long")
-    return F.when(ns == -11_644_473_600_000_000_000, "0001-01-01T00:00:00Z").otherwise(iso(F.timestamp_seconds(seconds)))
+    return F.when(seconds == FILE_TIME_ZERO, "0001-01-01T00:00:00Z").otherwise(iso(F.timestamp_seconds(seconds)))
 
 
 def canonical_time(utc: Column, local: Column) -> Column:
