@@ -126,7 +126,7 @@ def _corners(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Model(30.0 if share == 1 else -30.0 if len(y) and share == 0 else 0.0)
     model = Model(float(np.log(share / (1 - share))))
     for j in range(x.shape[1]):
