@@ -1,7 +1,8 @@
 """WARC archives through a table of payload chunks.
 
 ``write(df)`` cuts payloads into chunk rows, streams each record's chunks into
-a WARC file of the shared folder and returns the manifest of files.
+a WARC file of the shared folder, each record a gzip member of its own, and
+returns the manifest of files.
 ``read(manifest)`` streams the files back into chunk rows: record identifier,
 chunk number, the chunk, and the payload's length and SHA-256 up to and with
 that chunk. Neither side ever holds more than a chunk of a record in Python.
@@ -15,10 +16,12 @@ no key to refer to, stay responses.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import urllib.parse
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +33,7 @@ from ._shared import Table, new_path, same
 
 CHUNK = 1 << 20
 FILE_BYTES = 64 << 20
+LEVEL = 3
 REVISIT_FROM = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,7 +104,7 @@ def write(df: DataFrame, folder: str | None = None, key: str = "page_id", payloa
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        done, file, n, size, name = [], None, 0, 0, ""
+        done, file, member, n, size, name = [], None, None, 0, 0, ""
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(9)), strict=True):
                 number, last = row[6].as_py(), row[7].as_py()
@@ -109,17 +113,13 @@ def write(df: DataFrame, folder: str | None = None, key: str = "page_id", payloa
                         if file is not None:
                             file.close()
                             done.append((name, n, size))
-                        name = f"{folder}/{uuid.uuid4().hex}.warc"
-                        file, n, size = fs.open_output_stream(f"{root}/{name.rpartition('/')[2]}"), 0, 0
-                    head = warc_header(*(x.as_py() for x in row[:6]))
-                    file.write(head)
-                    n, size = n + 1, size + len(head)
-                data = row[8].as_buffer()
-                file.write(data)
-                size += data.size
+                        name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
+                        file, n, size = fs.open_output_stream(f"{root}/{name.rpartition('/')[2]}", compression=None), 0, 0
+                    member, n = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), n + 1
+                    size += file.write(member.compress(warc_header(*(x.as_py() for x in row[:6]))))
+                size += file.write(member.compress(row[8].as_buffer()))
                 if last:
-                    file.write(b"\r\n\r\n")
-                    size += 4
+                    size += file.write(member.compress(b"\r\n\r\n") + member.flush())
         if file is not None:
             file.close()
             done.append((name, n, size))
@@ -191,7 +191,7 @@ def read(manifest: DataFrame, with_chunks: bool = True, chunk: int = CHUNK) -> D
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, where = filesystem(path)
-                with io.BufferedReader(fs.open_input_stream(where), 1 << 16) as file:
+                with io.BufferedReader(gzip.GzipFile(fileobj=fs.open_input_stream(where, compression=None), mode="rb"), 1 << 16) as file:
                     for row in parse(file, chunk):
                         rows.append(row if with_chunks else (*row[:5], None, *row[6:]))
                         held += len(row[5]) if with_chunks else 0
