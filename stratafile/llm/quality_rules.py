@@ -84,7 +84,8 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept."""
+    """All columns of ``docs`` (but those with a name that follows) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept."""
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
     table = ratios(docs, trusted)
     weights = {r["bucket"]: r["weight"] for r in table.collect()}  # BUCKETS rows, whatever the corpus
     listed = F.from_json(F.lit(json.dumps([round(weights[i], 5) for i in range(BUCKETS)])), "array<double>")  # folded into one constant
@@ -94,4 +95,14 @@ def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     total = F.aggregate(one, F.lit(0.0), add) + F.aggregate(two, F.lit(0.0), add)
     many = F.greatest(2 * F.size("__h") - 1, F.lit(1))
     rows = rows.withColumn("ratio", F.when(~F.col("base_failed"), total / many))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= LEAST_RATIO)).drop("__t", "__h")
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio"]
+    kept = ~F.col("base_failed") & (F.col("ratio") >= LEAST_RATIO)
+    # results leave through a generator: a caller's filter on one of them is then not rewritten into the array
+    # expressions it comes from, which would work them out again for every element
+    return rows.select(*docs.columns, F.inline(F.array(F.struct(*made, F.coalesce(kept, F.lit(False)).alias("kept")))))
+
+
+def accepted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns whatever their names."""
+    rows = docs.select("doc_id", "text", F.struct("*").alias("__row"))
+    return judge(rows, trusted).where("kept").select("__row.*")

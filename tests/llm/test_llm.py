@@ -237,6 +237,8 @@ def test_op5_corner_cases(spark):
         r = found[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute.base_counts(t), t
     assert quality_rules.judge(docs(spark, []).drop("kept"), none).count() == 0
+    kept = quality_rules.accepted(docs(spark, odd), none)
+    assert kept.columns == docs(spark, []).columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if r["kept"]}
 
 
 def test_op5_clean_documents_stay(spark):
