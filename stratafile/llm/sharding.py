@@ -68,14 +68,14 @@ def lowest(draws: list[tuple[Column, Column]]) -> Column:
 
 def place(tree: Tree, key: Column) -> Column:
     """The shard of a key."""
-    weigh = lambda node: sum(w for _, w in node) if isinstance(node[0][1], float) else sum(map(weigh, node))
+    weigh = lambda rack: sum(w for _, w in rack)
     tops = []
     for i, region in enumerate(tree.regions):
         racks = []
         for j, rack in enumerate(region):
             inside = lowest([(draw(key, f"shard {s}", w), F.lit(s)) for s, w in rack])
             racks.append((draw(key, f"rack {i} {j}", weigh(rack)), inside))
-        tops.append((draw(key, f"region {i}", weigh(region)), lowest(racks)))
+        tops.append((draw(key, f"region {i}", sum(map(weigh, region))), lowest(racks)))
     tops += [(draw(key, f"grant {g.region} {g.shard}", g.weight), F.lit(g.shard)) for g in tree.grants]
     return lowest(tops).cast("int")
 
