@@ -11,8 +11,11 @@
    what two sets of similarity 0.75 differ by.
 4. Each task gives the spanning forest of its most similar pairs, not all
    pairs. They are confirmed on the full sets and joined into components.
-5. Every pair in sketch range whose ends are still apart is confirmed too, so
-   at the end each such pair is in one component or is known not to link.
+5. Pairs in sketch range whose ends are still apart get a second odd sketch,
+   of the whole sets: each bit in which two of them differ is a shingle that
+   only one set has, so it bounds the similarity from above without error.
+   Every pair that the bound leaves is confirmed too, so at the end each pair
+   in range is in one component or is known not to link.
 
 Words are runs of bytes outside ``[\\x20\\x09-\\x0D]`` of the text with A-Z
 lower-cased. With fewer than five words the whole sequence is the only
@@ -36,6 +39,7 @@ from ._shared import Table, components, same
 WORDS = 5
 SAMPLES, BANDS = 128, 32
 BITS, FAR_BITS = 512, 100
+FINE_BITS = 8192
 BLOCK = 2048
 LEAST_PERCENT = 75
 CACHED_WORDS = 500_000
@@ -106,6 +110,12 @@ def odd_sketch(low: np.ndarray) -> bytes:
     return np.packbits(np.bincount(spots.astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
+def fine_sketch(own: np.ndarray) -> bytes:
+    """Parity of how many of a set's shingles fall on each of ``FINE_BITS`` bits."""
+    spots = (mix(own + _SALTS[0]) % np.uint64(FINE_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(spots, minlength=FINE_BITS) & 1).tobytes()
+
+
 def estimate(differ: np.ndarray | int) -> np.ndarray:
     """Similarity from the number of bits in which two sketches differ."""
     return 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * np.asarray(differ) / BITS))
@@ -136,23 +146,23 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "keys", "sketch"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of (rep, component, sketch words) from rows sorted by (key, a, b)."""
-    rest: tuple | None = None
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Groups of (rep, component, size, sketch words, fine sketch words) from rows sorted by (key, a, b)."""
+    rest: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         group = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
-        rep, comp = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False)
-        words = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 6)]
+        words = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (6, 7)]
+        now = [group, *columns, *words]
         if rest is not None:
-            group, rep, comp, words = (np.concatenate(x) for x in zip(rest, (group, rep, comp, words), strict=True))
-        cuts = np.nonzero((group[1:] != group[:-1]).any(axis=1))[0] + 1
+            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        cuts = np.nonzero((now[0][1:] != now[0][:-1]).any(axis=1))[0] + 1
         edges = [0, *cuts.tolist()]
         for i, j in zip(edges[:-1], edges[1:], strict=True):
-            yield rep[i:j], comp[i:j], words[i:j]
-        last = edges[-1]
-        rest = group[last:], rep[last:], comp[last:], words[last:]
+            yield [x[i:j] for x in now[1:]]
+        rest = [x[edges[-1] :] for x in now]
     if rest is not None:
         yield rest[1:]
 
@@ -179,30 +189,34 @@ def forest(rep: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def apart(rep: np.ndarray, comp: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All pairs within ``FAR_BITS`` whose components differ."""
+def apart(rep: np.ndarray, comp: np.ndarray, size: np.ndarray, words: np.ndarray, fine: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All pairs within ``FAR_BITS`` whose components differ and whose fine sketches leave enough similarity."""
     if (comp == comp[0]).all():
         return
     for i in range(len(rep) - 1):
-        near = (comp[i + 1 :] != comp[i]) & (_differ(words[i:], 0)[1:] <= FAR_BITS)
-        for j in np.nonzero(near)[0] + i + 1:
-            yield int(rep[i]), int(rep[j])
+        j = np.nonzero((comp[i + 1 :] != comp[i]) & (_differ(words[i:], 0)[1:] <= FAR_BITS))[0] + i + 1
+        if len(j):
+            # at least ``gap`` shingles are in one set only, so the sets share (total - gap) / 2 at most
+            gap = np.bitwise_count(fine[j] ^ fine[i]).sum(axis=1, dtype=np.int64)
+            total = size[j] + size[i]
+            for k in j[100 * (total - gap) >= LEAST_PERCENT * (total + gap)]:
+                yield int(rep[i]), int(rep[k])
 
 
 def _meet(rows: DataFrame, everything: bool) -> DataFrame:
-    """Distinct pairs (u, v), u < v, of ``rows`` (key, n, rep, component, sketch)."""
+    """Distinct pairs (u, v), u < v, of ``rows`` (key, n, rep, component, size, sketch, fine)."""
     parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("parts")).cast("int")
     dealt = rows.withColumn("parts", parts).withColumn("own", own)
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own")))
     dealt = dealt.withColumn("other", F.explode(others))
-    dealt = dealt.select("key", F.least("own", "other").cast("long").alias("a"), F.greatest("own", "other").cast("long").alias("b"), "rep", "component", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").cast("long").alias("a"), F.greatest("own", "other").cast("long").alias("b"), "rep", "component", "size", "sketch", "fine")
     dealt = dealt.repartition(F.col("key"), F.col("a"), F.col("b")).sortWithinPartitions("key", "a", "b", "rep")
 
     def work(batches):
         us, vs = [], []
-        for rep, comp, words in _runs(batches):
-            for u, v in apart(rep, comp, words) if everything else forest(rep, words):
+        for rep, comp, size, words, fine in _runs(batches):
+            for u, v in apart(rep, comp, size, words, fine) if everything else forest(rep, words):
                 if u != v:
                     us.append(min(u, v))
                     vs.append(max(u, v))
@@ -237,8 +251,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):
             part = batch.slice(begin, 512)
-            own = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["doc_id", "own"])
+            own = [shingles(t) for t in part.column(1).to_pylist()]
+            columns = [pa.array([f(x) for x in own], pa.binary()) for f in (np.ndarray.tobytes, fine_sketch)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array([len(x) for x in own], pa.int64())], names=["doc_id", "own", "fine", "size"])
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,15 +277,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = keyed.join(shared, "key").join(classes.select("rep", "sketch"), "rep")
     rows = Table(rows.select("key", "n", "rep", "sketch"), "bucket-rows").df
 
-    first = Table(_meet(rows.withColumn("component", F.col("rep")), False), "pairs").df
+    start = rows.withColumn("component", F.col("rep")).withColumn("size", F.lit(0).cast("long")).withColumn("fine", F.lit(b"\0" * 8))
+    first = Table(_meet(start, False), "pairs").df
     ends = first.select(F.col("u").alias("doc_id")).unionByName(first.select(F.col("v").alias("doc_id"))).distinct()
     texts = docs.join(ends.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = Table(texts.mapInArrow(_sets, "doc_id long, own binary"), "sets")
+    sets = Table(texts.mapInArrow(_sets, "doc_id long, own binary, fine binary, size long"), "sets")
     links = Table(_confirmed(first, sets.df), "links").df
     comps = Table(components(links, "u", "v"), "components").df
     apart_rows = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = apart_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    second = _meet(apart_rows.join(mixed, "key", "left_semi").select("key", "n", "rep", "component", "sketch"), True).join(first, ["u", "v"], "left_anti")
+    apart_rows = apart_rows.join(mixed, "key", "left_semi").join(sets.df.select(F.col("doc_id").alias("rep"), "size", "fine"), "rep")
+    second = _meet(apart_rows.select("key", "n", "rep", "component", "size", "sketch", "fine"), True).join(first, ["u", "v"], "left_anti")
     more = Table(_confirmed(second, sets.df), "more-links").df
     sets.drop()
     if not more.isEmpty():
