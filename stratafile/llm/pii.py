@@ -6,8 +6,12 @@ entity are its lexical pattern; the corpus gives a bipartite graph of patterns
 and instances (every identifier-like token). In each of ``ROUNDS`` turns a
 pattern's confidence is the share of all its places in the corpus that a
 trusted instance follows, and an instance's is one minus the chance that all
-its patterns are wrong. Identifier-like tokens after patterns of at least
-``CONFIDENT`` are added as spans of kind ``context``; base spans stay.
+its patterns of at least ``CONFIDENT`` are wrong. Identifier-like tokens after
+such patterns are added as spans of kind ``context``; base spans stay.
+
+A pattern can't become confident once more places are known than its tokens
+could ever vouch for. So places are first counted in shares of the documents,
+which rules out common word pairs, and the rest over all documents.
 
 DataFrame functions only. Offsets are code points, ends exclusive. A null text
 counts as empty. Rows with the same doc_id and the same text have the same
@@ -23,6 +27,8 @@ from ._shared import WORD_GAP, Table, same, when_small
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS, CONFIDENT, LEAST_SUPPORT = 3, 0.8, 3
+#: One in so many documents is looked at before all are; results don't depend on it.
+SHARES = (16, 4)
 CONTEXT_CHARS = 80
 
 # A match can only begin where a run of the pattern's first class begins or where the last match ended,
@@ -125,8 +131,13 @@ def confident_patterns(read: DataFrame, docs: DataFrame) -> DataFrame:
     each = read.select("base", F.explode("tokens").alias("t")).select(F.col("t.pattern").alias("pattern"), F.xxhash64("t.instance").alias("instance"), (F.col("t.key") | inside(F.col("t"))).alias("seed"))
     edges = Table(each.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.bool_or("seed").alias("seed")), "graph").df
     # a pattern without enough seeds now may gain trusted instances in a later turn, so all with enough instances are counted
-    wanted = edges.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= LEAST_SUPPORT).select("pattern")
-    wanted = when_small(wanted)
+    most = (F.sum("n") / F.lit(CONFIDENT)).alias("most")
+    wanted = Table(edges.groupBy("pattern").agg(F.count("*").alias("k"), most).where(F.col("k") >= LEAST_SUPPORT).select("pattern", "most"), "wanted").df
+    for share in SHARES:
+        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+        known = wanted.join(places(part, when_small(wanted.select("pattern"))), "pattern", "left")
+        wanted = Table(known.where("places is null or places <= most").select("pattern", "most"), "wanted").df
+    wanted = when_small(wanted.select("pattern"))
     counted = Table(places(docs, wanted), "places").df
     edges = Table(edges.join(wanted, "pattern", "left_semi").join(counted, "pattern"), "graph").df
     trust = None
@@ -136,11 +147,11 @@ def confident_patterns(read: DataFrame, docs: DataFrame) -> DataFrame:
         if trust is not None:
             known = edges.join(trust, "instance", "left").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0))))
         share = F.sum(F.col("n") * F.col("trust")) / F.greatest(F.max("places"), F.sum("n"))
-        scored = known.groupBy("pattern").agg(share.alias("confidence"), F.count_if(F.col("trust") >= CONFIDENT).alias("support")).where(F.col("support") >= LEAST_SUPPORT)
+        scored = known.groupBy("pattern").agg(share.alias("confidence"), F.count_if(F.col("trust") >= CONFIDENT).alias("support")).where((F.col("support") >= LEAST_SUPPORT) & (F.col("confidence") >= CONFIDENT))
         patterns = Table(scored.select("pattern", "confidence"), f"patterns{turn}").df
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
         trust = edges.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("trust"))
-    return patterns.where(F.col("confidence") >= CONFIDENT)
+    return patterns
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
