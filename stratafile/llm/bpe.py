@@ -19,6 +19,7 @@ import json
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -29,6 +30,8 @@ SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
 CACHED_UNITS = 600_000
+#: Marks that end words; none is a letter, a number, white space or an apostrophe.
+MARKS = ".,;:!?#*$%&|"
 LONGEST_CACHED = 64
 ROWS_AT_ONCE = 256
 
@@ -132,6 +135,18 @@ class LibraryBackend:
         self.library.no_padding()
         self.library.no_truncation()
         self.special = {x.content: i for i, x in self.library.get_added_tokens_decoder().items()}
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.begins[[i for token, i in vocabulary.items() if token[0] == byte_letters()[32]]] = True
+
+    def spaced(self, units: list[str]) -> list[bytes]:
+        """Packed ids of units that each follow a space and hold none: one call for all, cut where a token begins with a space."""
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.nonzero(self.begins[ids])[0]
+        if len(cuts) != len(units):
+            raise ValueError("a token spans two units")
+        data, edges = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(units, add_special_tokens=False)]
@@ -149,6 +164,12 @@ class Encoder:
         self.cuts = re.compile(r"(?<=\S) (?=\S)").split
         self.by_special = re.compile("(" + "|".join(map(re.escape, sorted(backend.special, key=len, reverse=True))) + ")").split if backend.special else None
 
+    def _spaced(self, units: list[str]) -> list[bytes]:
+        """Packed ids of clean units as they are after a space."""
+        if units and isinstance(self.backend, LibraryBackend):
+            return self.backend.spaced(units)
+        return self._packed([" " + u for u in units])
+
     def _packed(self, units: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(x)}I", *x) for x in self.backend.encode_units(units)]
 
@@ -170,11 +191,27 @@ class Encoder:
         if len(inner) + len(missing) > CACHED_UNITS:
             inner.clear()
             missing = set(rest)
-        units = list(missing)
-        fresh = dict(zip(units, self._packed([" " + u for u in units]), strict=True))
+        fresh = self._fresh(missing)
         inner.update((u, ids) for u, ids in fresh.items() if len(u) <= LONGEST_CACHED)
         return self._first(first) + b"".join([fresh[u] if u in fresh else inner[u] for u in rest])
 
+    def _fresh(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of units after a space. Letters and the marks after them are pre-tokens of their own, each looked up by itself."""
+        whole, composed = [], []
+        for unit in missing:
+            stem = unit.rstrip(MARKS)
+            if len(stem) < len(unit) and stem.isalpha():
+                composed.append((unit, stem))
+                if stem not in self.inner and stem not in missing:
+                    whole.append(stem)
+            else:
+                whole.append(unit)
+        whole = list(dict.fromkeys(whole))
+        fresh = dict(zip(whole, self._spaced(whole), strict=True))
+        for unit, stem in composed:
+            fresh[unit] = (fresh[stem] if stem in fresh else self.inner[stem]) + self._first(unit[len(stem) :])
+        return fresh
+
     def _first(self, unit: str) -> bytes:
         """Ids of a text's first unit, which has no space before it."""
         found = self.firsts.get(unit)
