@@ -1,9 +1,16 @@
 """Quality rules: base counts, then a log-likelihood ratio of hashed n-grams.
 
-Two multinomials over ``BUCKETS`` hashed word 1-grams and 2-grams are counted
-over whole tables: one of all documents, one of the trusted ones. A document's
-ratio is the mean, over its n-grams, of log(trusted share / corpus share);
-below ``LEAST_RATIO`` it is rejected. No document is sampled or skipped.
+Two multinomials over hashed word 1-grams and 2-grams are counted over whole
+tables: one of all documents, one of the trusted ones. A document's ratio is
+the mean, over its n-grams, of log(trusted share / corpus share); below
+``LEAST_RATIO`` it is rejected. No document is sampled or skipped.
+
+There are ``BUCKETS`` buckets at least, and twice as many until none would hold
+more than ``PER_BUCKET`` n-grams on average: collisions draw every ratio
+towards 0, and so they stay as rare in a large corpus as in a small one.
+Weights are a table. Those of the fullest buckets are broadcast, and only
+n-grams of the others are shuffled. Weights are whole 100,000ths, so sums don't
+depend on their order. Ratios belong to a text's 64-bit hash: copies share one.
 
 Everything is DataFrame functions; words are ``[^\\x20\\x09-\\x0D]+``. Null
 texts have no words and fail the base rules.
@@ -11,14 +18,17 @@ texts have no words and fail the base rules.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD, WORD_GAP, Table, when_small
+from ._shared import BROADCAST_ROWS, WORD, WORD_GAP, Table, when_small
 
+#: The least number of buckets.
 BUCKETS = 1 << 16
+PER_BUCKET = 16
+SCALE = 100_000
+#: So many weights are broadcast at most.
+HEAD_ROWS = BROADCAST_ROWS
 LEAST_RATIO = -0.25
 SMOOTHING = 1.0
 SYMBOLS = "#*$%&|<>"
@@ -31,12 +41,23 @@ def with_words(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__h", F.transform(F.array_remove(F.split("__t", WORD_GAP), ""), lambda w: F.xxhash64(w)))
 
 
-def grams(h: Column) -> tuple[Column, Column]:
+def grams(h: Column, buckets: int) -> Column:
     """Buckets of the 1-grams and 2-grams of a hash array."""
     n = F.size(h)
-    one = F.transform(h, lambda w: F.pmod(w, F.lit(BUCKETS)).cast("int"))
-    two = F.transform(F.arrays_zip(F.slice(h, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(h, 2, F.greatest(n - 1, F.lit(0))).alias("b")), lambda p: F.pmod(F.xxhash64(p), F.lit(BUCKETS)).cast("int"))
-    return one, two
+    place = lambda x: F.pmod(x, F.lit(buckets).cast("long"))
+    one = F.transform(h, place)
+    two = F.transform(F.arrays_zip(F.slice(h, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(h, 2, F.greatest(n - 1, F.lit(0))).alias("b")), lambda p: place(F.xxhash64(p)))
+    return F.concat(one, two)
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """The number of buckets for all n-grams of ``docs``: a power of two that grows with them."""
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), WORD_GAP), ""))
+    total = docs.agg(F.sum(F.greatest(2 * words - 1, F.lit(0)).cast("long")).alias("n")).first()["n"] or 0
+    buckets = BUCKETS
+    while buckets * PER_BUCKET < total:
+        buckets *= 2
+    return buckets
 
 
 def base_counts(df: DataFrame) -> DataFrame:
@@ -69,37 +90,51 @@ def base_counts(df: DataFrame) -> DataFrame:
     return df.drop("__lines", "__w", "__s", "__p")
 
 
-def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, weight) of every bucket from counts over all of ``docs``; ``trusted`` has the doc_ids of the target."""
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, raw, weight) of every bucket in use, from counts over all of ``docs``; ``trusted`` has the doc_ids of the target."""
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.select("doc_id", "text").join(when_small(ids), F.col("doc_id") == F.col("__id"), "left")
-    one, two = grams(F.col("__h"))
-    rows = with_words(rows, "text").select(F.col("__id").isNotNull().alias("target"), F.explode(F.concat(one, two)).alias("bucket"))
-    counted = rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("good"))
-    counted = Table(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").na.fill(0, ["raw", "good"]), "grams").df
-    total = counted.agg(F.sum("raw").alias("r"), F.sum("good").alias("g")).first()
-    share = lambda c, n: F.log((F.col(c) + F.lit(SMOOTHING)) / F.lit(n + SMOOTHING * BUCKETS))
+    rows = with_words(rows, "text").select(F.col("__id").isNotNull().alias("target"), F.explode(grams(F.col("__h"), buckets)).alias("bucket"))
+    counted = Table(rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("good")), "grams").df
+    total = counted.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("good"), F.lit(0)).alias("g")).first()
+    share = lambda c, n: F.log((F.col(c) + F.lit(SMOOTHING)) / F.lit(n + SMOOTHING * buckets))
     weight = share("good", total["g"]) - share("raw", total["r"]) if total["g"] else F.lit(0.0)
-    return counted.select("bucket", weight.alias("weight"))
+    return counted.select("bucket", "raw", F.round(weight * SCALE).cast("long").alias("weight"))
+
+
+def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(fingerprint, ratio) of every text with words; the fingerprint is the text's hash."""
+    buckets = bucket_count(docs)
+    table = weights(docs, trusted, buckets)
+    rows = with_words(docs.select("text"), "text").select(F.xxhash64("__t").alias("fingerprint"), F.explode(grams(F.col("__h"), buckets)).alias("bucket"))
+    bits = F.length(F.bin("raw"))
+    least, room = 65, HEAD_ROWS
+    for r in table.groupBy(bits.alias("bits")).count().orderBy(F.desc("bits")).collect():  # 64 rows at most
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["bits"]
+    head = F.broadcast(table.where(bits >= least).select("bucket", "weight"))
+    sums = lambda df: df.groupBy("fingerprint").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
+    found = sums(rows.join(head, "bucket"))
+    if room < 0:
+        tail = table.where(bits < least).select("bucket", "weight")
+        rest = sums(rows.join(head.select("bucket"), "bucket", "left_anti").join(tail.hint("shuffle_merge"), "bucket"))
+        found = found.unionByName(rest).groupBy("fingerprint").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return found.select("fingerprint", (F.col("total") / F.lit(float(SCALE)) / F.col("n")).alias("ratio"))
 
 
 def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """All columns of ``docs`` (but those with a name that follows) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept."""
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
-    table = ratios(docs, trusted)
-    weights = {r["bucket"]: r["weight"] for r in table.collect()}  # BUCKETS rows, whatever the corpus
-    listed = F.from_json(F.lit(json.dumps([round(weights[i], 5) for i in range(BUCKETS)])), "array<double>")  # folded into one constant
-    rows = base_counts(with_words(docs, "text"))
-    one, two = grams(F.col("__h"))
-    add = lambda acc, b: acc + F.get(listed, b)
-    total = F.aggregate(one, F.lit(0.0), add) + F.aggregate(two, F.lit(0.0), add)
-    many = F.greatest(2 * F.size("__h") - 1, F.lit(1))
-    rows = rows.withColumn("ratio", F.when(~F.col("base_failed"), total / many))
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio"]
+    found = when_small(ratios(docs, trusted).select(F.col("fingerprint").alias("__print"), F.col("ratio").alias("__ratio")))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    rows = base_counts(with_words(docs, "text")).select(*docs.columns, *counts, F.xxhash64("__t").alias("__own"))
+    rows = rows.join(found, F.col("__own") == F.col("__print"), "left").withColumn("ratio", F.when(~F.col("base_failed"), F.col("__ratio")))
     kept = ~F.col("base_failed") & (F.col("ratio") >= LEAST_RATIO)
     # results leave through a generator: a caller's filter on one of them is then not rewritten into the array
     # expressions it comes from, which would work them out again for every element
-    return rows.select(*docs.columns, F.inline(F.array(F.struct(*made, F.coalesce(kept, F.lit(False)).alias("kept")))))
+    return rows.select(*docs.columns, F.inline(F.array(F.struct(*counts, "ratio", F.coalesce(kept, F.lit(False)).alias("kept")))))
 
 
 def accepted(docs: DataFrame, trusted: DataFrame) -> DataFrame:

@@ -247,6 +247,27 @@ def test_op5_clean_documents_stay(spark):
     assert r["good"] >= 0.99 and r["bad"] <= 0.3
 
 
+def test_op5_bad_documents_go_at_any_size(spark):
+    shares = []
+    for d in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        found = queries.op5_ngram_ratio_rules(spark, d).join(queries.table(spark, d, "labels"), "doc_id").where("n_words >= 10")
+        shares.append(found.agg(F.avg(F.when(F.col("quality") == 0, (F.col("ratio") >= quality_rules.LEAST_RATIO).cast("int"))).alias("bad"), F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int"))).alias("good")).first())
+    assert shares[1]["bad"] <= shares[0]["bad"] and shares[1]["good"] >= 0.99, shares
+
+
+def test_op5_more_buckets_and_shuffled_weights(spark, monkeypatch):
+    texts = texts_of(spark)
+    trusted = table(spark, "labels").where("quality = 1")
+    monkeypatch.setattr(quality_rules, "PER_BUCKET", 1)
+    monkeypatch.setattr(quality_rules, "HEAD_ROWS", 500)
+    buckets = quality_rules.bucket_count(table(spark, "documents"))
+    n = sum(len(brute.grams(t, buckets)) for t in texts.values())
+    assert buckets // 2 < n <= buckets
+    ratio = brute.ratios(texts, {r["doc_id"] for r in trusted.collect()}, buckets, quality_rules.SMOOTHING)
+    for r in quality_rules.judge(table(spark, "documents"), trusted).where("not base_failed").collect():
+        assert abs(r["ratio"] - ratio[r["doc_id"]]) < 1e-4
+
+
 # 6
 
 
