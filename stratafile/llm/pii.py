@@ -3,7 +3,9 @@
 Base spans come from four fixed patterns (e-mail, IP, card, phone). Together
 with long hexadecimal keys they are the seed entities. The two words before an
 entity are its lexical pattern; the corpus gives a bipartite graph of patterns
-and instances (every identifier-like token). In each of ``ROUNDS`` turns a
+and instances (every identifier-like token). A base span that covers several
+words is one instance, and its words are none; its pattern is the two words
+before the word it begins in. In each of ``ROUNDS`` turns a
 pattern's confidence is the share of all its places in the corpus that a
 trusted instance follows, and an instance's is one minus the chance that all
 its patterns of at least ``CONFIDENT`` are wrong. Identifier-like tokens after
@@ -29,7 +31,6 @@ KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS, CONFIDENT, LEAST_SUPPORT = 3, 0.8, 3
 #: One in so many documents is looked at before all are; results don't depend on it.
 SHARES = (16, 4)
-CONTEXT_CHARS = 80
 
 # A match can only begin where a run of the pattern's first class begins or where the last match ended,
 # so a long run that leads nowhere is read once.
@@ -47,8 +48,8 @@ IDENTIFIER = r"^(?=.*[0-9])[A-Za-z0-9@_+=/.:-]{6,}$"
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<m, start, end>> of all matches, leftmost first."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + F.length(x["b"])).alias("start"), (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("end"), F.right(x["b"], F.lit(CONTEXT_CHARS)).alias("before")))).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,end:int,before:string>>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + F.length(x["b"])).alias("start"), (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("end")))).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,end:int>>").alias("out"))
     pairs = F.filter(F.arrays_zip(found.alias("m"), between.alias("b")), lambda x: x["m"].isNotNull())
     return F.aggregate(pairs, start, step)["out"]
 
@@ -96,24 +97,36 @@ def plain_word(word: Column) -> Column:
 
 
 def context(before_last: Column, last: Column) -> Column:
-    return F.xxhash64(F.coalesce(before_last, F.lit("^")), F.coalesce(last, F.lit("^")))
-
-
-def tokens(text: Column) -> Column:
-    """array<struct<pattern, instance, start, end, key>> of identifier-like tokens and what stands before them."""
-    found = matches(text, TOKEN)
-
-    def one(x: Column, i: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["m"], "^[^A-Za-z0-9+]*", 0))
-        core = F.regexp_replace(F.substring(x["m"], lead + 1, F.length(x["m"])), "[^A-Za-z0-9]+$", "")
-        words = F.array_remove(F.split(F.concat(F.when((i > 0) & (F.length(x["before"]) < CONTEXT_CHARS), "#").otherwise(""), x["before"]), WORD_GAP), "")
-        n = F.size(words)
+    return F.xxhash64(before_last, last)
+
+
+def tokens(text: Column, base: Column) -> Column:
+    """array<struct<pattern, instance, start, end, key, wide>> of identifier-like tokens and base spans of several words, and what stands before them.
+
+    ``base`` must be a column of its own: it is read once for every token.
+    """
+    words = F.array_remove(F.split(text, WORD_GAP), "")
+    n, led = F.size(words), F.concat(F.array(F.lit("^"), F.lit("^")), words)
+    # matches of TOKEN are the words with a digit or an @, in the same order
+    own = F.filter(F.arrays_zip(F.slice(led, 1, n).alias("a"), F.slice(led, 2, n).alias("b"), words.alias("w")), lambda x: x["w"].rlike("[0-9@]"))
+    found = F.arrays_zip(matches(text, TOKEN).alias("t"), own.alias("c"))
+    found = F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] < x["t"]["start"]) & (x["t"]["start"] < b["end"])))
+
+    def one(x: Column) -> Column:
+        t, c = x["t"], x["c"]
+        lead = F.length(F.regexp_extract(t["m"], "^[^A-Za-z0-9+]*", 0))
+        core = F.regexp_replace(F.substring(t["m"], lead + 1, F.length(t["m"])), "[^A-Za-z0-9]+$", "")
+        span = F.get(F.filter(base, lambda b: (t["start"] <= b["start"]) & (b["start"] < t["end"]) & (t["end"] < b["end"])), F.lit(0))
+        wide = span.isNotNull()
+        instance = F.when(wide, F.substring(text, span["start"] + 1, span["end"] - span["start"])).otherwise(core)
         # a mark that stands before the token within its word belongs to neither
-        pattern = context(F.when(n >= 2, plain_word(F.get(words, n - 2))), F.when(n >= 1, plain_word(F.get(words, n - 1))))
-        return F.struct(pattern.alias("pattern"), core.alias("instance"), (x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), core.rlike(HEX_KEY).alias("key"))
+        start = F.when(wide, span["start"]).otherwise(t["start"] + lead)
+        end = F.when(wide, span["end"]).otherwise(t["start"] + lead + F.length(core))
+        pattern = context(plain_word(c["a"]), plain_word(c["b"]))
+        return F.struct(pattern.alias("pattern"), instance.alias("instance"), start.alias("start"), end.alias("end"), core.rlike(HEX_KEY).alias("key"), wide.alias("wide"))
 
-    none = F.array().cast("array<struct<pattern:bigint,instance:string,start:int,end:int,key:boolean>>")
-    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(found, one), lambda x: x["instance"].rlike(IDENTIFIER))).otherwise(none)
+    none = F.array().cast("array<struct<pattern:bigint,instance:string,start:int,end:int,key:boolean,wide:boolean>>")
+    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(found, one), lambda x: x["wide"] | x["instance"].rlike(IDENTIFIER))).otherwise(none)
 
 
 def places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -157,8 +170,8 @@ def confident_patterns(read: DataFrame, docs: DataFrame) -> DataFrame:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, base, spans) for every row; spans are structs (kind, start, end), sorted."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    read = rows.select("doc_id", F.xxhash64("text").alias("fingerprint"), F.array_sort(F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).alias("base"), tokens(F.col("text")).alias("tokens"))
-    read = Table(read, "spans").df
+    read = rows.select("doc_id", F.xxhash64("text").alias("fingerprint"), F.array_sort(F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).alias("base"), "text")
+    read = Table(read.select("doc_id", "fingerprint", "base", tokens(F.col("text"), F.col("base")).alias("tokens")), "spans").df
     good = when_small(confident_patterns(read, rows).select("pattern"))
     outside = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     more = read.select("doc_id", "fingerprint", "base", F.explode("tokens").alias("t")).where(outside(F.col("t"))).select("doc_id", "fingerprint", F.col("t.pattern").alias("pattern"), "t")

@@ -417,6 +417,22 @@ def test_op10_finds_unseen_identifiers(spark):
     assert found[12] == f"context:{at}:{at + len('QX-77-90417')}" and found[13] == "" and found[14] == ""
 
 
+def test_op10_phones_do_not_vouch_for_numbers_after_numbers(spark):
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    clean = ["see page 12 20240101 of it", "table 7 1984-2024 was free", "12 20240102 begins a text"]
+    texts = [f"so {letters(i)} said {letters(i + 7)} +1 ({i + 100}) 555-{i + 1000} then" for i in range(40)] + clean
+    found = {r["doc_id"]: r for r in pii.report(pii.find(docs(spark, texts))).collect()}
+    assert all(found[i]["n_phone"] == 1 and found[i]["spans"].startswith("phone:") and "," not in found[i]["spans"] for i in range(40))
+    assert [found[40 + i]["spans"] for i in range(len(clean))] == [""] * len(clean)
+
+
+def test_op10_wide_spans_are_seeds(spark):
+    texts = [f"you may call me: +1 ({i + 100}) 555-{i + 1000} then" for i in range(12)] + ["you may call me: QX-77-90417 then", "card 4111 1111 1111 1111 end"]
+    found = {r["doc_id"]: r["spans"] for r in pii.report(pii.find(docs(spark, texts))).collect()}
+    at = texts[12].index("QX")
+    assert found[12] == f"context:{at}:{at + len('QX-77-90417')}" and found[13] == "card:5:24"
+
+
 def test_op10_redaction(spark):
     df = docs(spark, ["mail a@b.co or 10.0.0.1 now", None, "clean", "😊a@b.co"])
     found = {r["doc_id"]: r for r in pii.redact(df).collect()}
