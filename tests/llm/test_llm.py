@@ -433,6 +433,16 @@ def test_op10_wide_spans_are_seeds(spark):
     assert found[12] == f"context:{at}:{at + len('QX-77-90417')}" and found[13] == "card:5:24"
 
 
+def test_op10_contexts_of_any_length(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    far = "https://example.org/" + "path/" * 30
+    texts = [f"member {far} {key(i)} and more" for i in range(12)] + [f"member {far} QX-77-90417 and more", "member" + " " * 200 + far + " " * 200 + "QX-77-90418 and more"]
+    found = {r["doc_id"]: r["spans"] for r in pii.report(pii.find(docs(spark, texts))).collect()}
+    for i in (12, 13):
+        at = texts[i].index("QX")
+        assert found[i] == f"context:{at}:{at + len('QX-77-90417')}"
+
+
 def test_op10_redaction(spark):
     df = docs(spark, ["mail a@b.co or 10.0.0.1 now", None, "clean", "😊a@b.co"])
     found = {r["doc_id"]: r for r in pii.redact(df).collect()}
