@@ -40,6 +40,12 @@ REGISTRY = (
 )
 
 
+#: Keys as the reference's specifications, stored analyzers and export map state them, each by itself (fixed values).
+SPEC_KEYS = ("image", "pdf", "office", "raw_image", "audio", "video", "text", "archive", "content_extraction")
+STORED_KEYS = ("image", "pdf", "office", "raw_image", "audio", "video", "text", "archive", "content_extraction")
+EXPORTS = {"image": "image", "pdf": "pdf", "office": "office", "raw_image": "raw_image", "audio": "audio", "video": "video", "text": "text", "archive": "archive", "content_extraction": "content_index"}
+
+
 def available(analyzer: Analyzer) -> bool:
     """Whether everything the analyzer needs is installed here."""
     import importlib.util

@@ -76,8 +76,12 @@ def n11(spark, sf_dir):
 @query("u7_registry_equality", "SELECT 0::BIGINT AS differences")
 def u7(spark, sf_dir):
     a = analyzers.registry(spark).select("analyzer_key")
-    b = spark.createDataFrame([(x.key,) for x in analyzers.REGISTRY], "analyzer_key string")
-    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differences"))
+    differences = None
+    for keys in (analyzers.SPEC_KEYS, tuple(analyzers.EXPORTS), analyzers.STORED_KEYS):
+        b = spark.createDataFrame([(k,) for k in keys], "analyzer_key string")
+        either = a.exceptAll(b).unionAll(b.exceptAll(a))
+        differences = either if differences is None else differences.unionAll(either)
+    return differences.agg(F.count("*").alias("differences"))
 
 
 @query(
