@@ -288,7 +288,7 @@ def a31(spark, sf_dir):
 )
 def w12(spark, sf_dir):
     f = corpus.files(spark, sf_dir, (1, 4)).select("file_id", "root_ordinal", "relative_path").withColumn("walk", paths.walk_key(F.col("relative_path")))
-    return numbered(f, "db_id", [F.col("root_ordinal"), F.col("walk")[0]], [F.col("walk"), F.col("file_id")]).select("file_id", "db_id")
+    return numbered(f, "db_id", [F.col("root_ordinal"), F.col("walk"), F.col("file_id")]).select("file_id", "db_id")
 
 
 @query("j14_latest_measurement", "SELECT file_id, max(run_id) AS run_id, max_by(sha256, run_id) AS sha256 FROM (SELECT file_id, 1 AS run_id, upper(sha256(content)) AS sha256 FROM snap1 WHERE NOT inaccessible UNION ALL SELECT file_id, 3, upper(sha256(content)) FROM snap3 WHERE NOT inaccessible) GROUP BY file_id")
@@ -300,4 +300,4 @@ def j14(spark, sf_dir):
 @query("w7_latest_run_per_root", "SELECT root_id, max(run_id) AS run_id FROM observations GROUP BY root_id")
 def w7(spark, sf_dir):
     log = history.after(spark, sf_dir, 3)[1]
-    return first_of(log.select("root_id", "run_id").distinct(), ["root_id"], [F.desc("run_id")]).select("root_id", "run_id")
+    return first_of(log.select("root_id", "run_id"), ["root_id"], [F.col("run_id")], last=True).select("root_id", "run_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analyzers, duplicates, exports, hashing
+from ..operators.ranking import numbered
 from ..sources import corpus
 from .catalog_analyzers import archives
 from .catalog_content import entries, hashed_state
@@ -77,8 +78,5 @@ def r6_archives(spark, sf_dir):
 
 @query("t4_nulls_last_order", "SELECT file_id, row_number() OVER (ORDER BY duplicate_group_id ASC NULLS LAST, file_id) AS place FROM selective")
 def t4(spark, sf_dir):
-    from ..operators.ranking import numbered
-
     r = hashing.selective(entries(spark, sf_dir)).select("file_id", "duplicate_group_id")
-    last = F.col("duplicate_group_id").isNull()
-    return numbered(r, "place", [last, F.col("duplicate_group_id")], [F.col("file_id")]).select("file_id", "place")
+    return numbered(r, "place", [F.asc_nulls_last("duplicate_group_id"), F.col("file_id")]).select("file_id", "place")

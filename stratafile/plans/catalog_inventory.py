@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attrs, paths, render
 from ..operators import stats
-from ..operators.ranking import first_of
+from ..operators.ranking import first_of, numbered
 from ..sources import corpus
 from .registry import query
 
@@ -259,10 +259,8 @@ def p1(spark, sf_dir):
     f"SELECT row_number() OVER (ORDER BY root_ordinal, path_sort_key, file_id) AS row_no, full_path, file_name, extension, coalesce(size_bytes, 0) AS size, attributes FROM {FULL} WHERE NOT inaccessible AND root_id = 3",
 )
 def p2(spark, sf_dir):
-    from ..operators.ranking import numbered
-
     f = inventory(spark, sf_dir, (3,)).where("status = 'observed'")
-    rows = numbered(f, "row_no", [F.col("root_ordinal"), F.substring("path_sort_key", 1, 7)], [F.col("ord")])
+    rows = numbered(f, "row_no", [F.col("ord")])
     return rows.select("row_no", "full_path", "file_name", "extension", F.coalesce("size_bytes", F.lit(0)).alias("size"), "attributes")
 
 
@@ -284,7 +282,7 @@ def j1(spark, sf_dir):
 @query("j11_newest_per_folder", r"SELECT folder, arg_max(file_id, {'m': minutes, 'f': file_id}) AS newest_file FROM (SELECT *, CASE WHEN depth = 0 THEN '(root)' ELSE string_split(relative_path, '\')[1] END AS folder FROM files) GROUP BY folder")
 def j11(spark, sf_dir):
     f = corpus.files(spark, sf_dir).withColumn("folder", paths.top_level(F.col("relative_path")))
-    return first_of(f, ["folder"], [F.desc("modified_utc"), F.desc("file_id")]).select("folder", F.col("file_id").alias("newest_file"))
+    return first_of(f.select("folder", "file_id", "modified_utc"), ["folder"], [F.col("modified_utc"), F.col("file_id")], last=True).select("folder", F.col("file_id").alias("newest_file"))
 
 
 @query("s18_bulk_lookup", "SELECT a.doc_id, f.file_id, f.size_bytes FROM (SELECT doc_id, source || '\\' || lang || '\\' || name AS p FROM named WHERE doc_id % 3 = 0) a JOIN files f ON f.root_id = 1 AND f.relative_path = a.p".replace("\\\\", "\\"))

@@ -60,7 +60,7 @@ def a20(spark, sf_dir):
 @query("t5_size_order_with_nulls", "SELECT file_id, row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, file_id) AS place FROM files WHERE root_id = 1")
 def t5(spark, sf_dir):
     f = corpus.files(spark, sf_dir, (1,)).select("file_id", "size_bytes")
-    return numbered(f, "place", [F.col("size_bytes").isNull(), -F.col("size_bytes")], [F.col("file_id")]).select("file_id", "place")
+    return numbered(f, "place", [F.desc_nulls_last("size_bytes"), F.col("file_id")]).select("file_id", "place")
 
 
 @query(
@@ -143,8 +143,8 @@ def x9(spark, sf_dir):
 
 @query("x10_one_run_per_mode", "SELECT root_id, mode, max(run_id) AS run_id FROM (SELECT user_id % 4 AS root_id, CASE WHEN event_id % 2 = 0 THEN 'selective' ELSE 'exhaustive' END AS mode, user_id AS run_id FROM events) GROUP BY ALL")
 def x10(spark, sf_dir):
-    e = events(spark, sf_dir).select((F.col("run_id") % 4).alias("root_id"), F.when(F.col("event_id") % 2 == 0, "selective").otherwise("exhaustive").alias("mode"), "run_id").distinct()
-    return first_of(e, ["root_id", "mode"], [F.desc("run_id")]).select("root_id", "mode", "run_id")
+    e = events(spark, sf_dir).select((F.col("run_id") % 4).alias("root_id"), F.when(F.col("event_id") % 2 == 0, "selective").otherwise("exhaustive").alias("mode"), "run_id")
+    return first_of(e, ["root_id", "mode"], [F.col("run_id")], last=True).select("root_id", "mode", "run_id")
 
 
 @query("x11_measurements_with_content_w64", "SELECT s.file_id, coalesce(s.full_hash, CASE WHEN s.size_bytes <= 64 THEN s.partial_hash END) AS sha256, s.final_status FROM selective s WHERE s.size_group_id IS NOT NULL", window=64)
