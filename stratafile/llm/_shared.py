@@ -1,105 +1,33 @@
-"""Helpers that several training-data operators use: shared tables, ranks, components.
-
-Everything that must outlive a job is written below ``spark.checkpoint.dir``,
-the folder that the driver and all executors see, so a lost executor never
-takes an intermediate result with it.
-"""
+"""Helpers that several training-data operators use: ranks, components; tables come from ``sources.store``."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL_FALLBACK: str | None = None
-_WRITTEN: list[tuple[SparkSession, str]] = []
+from ..operators import ranking
+from ..sources.store import BROADCAST_ROWS, Table, few, new_path, remove, when_small, written
+
+__all__ = ["BROADCAST_ROWS", "Table", "components", "few", "new_path", "rank_within", "remove", "same", "when_small", "written"]
 
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+`` (fixed values).
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only in local mode without a setting."""
-    global _LOCAL_FALLBACK
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _LOCAL_FALLBACK is None:
-        _LOCAL_FALLBACK = "file://" + tempfile.mkdtemp(prefix="stratafile-")
-    return _LOCAL_FALLBACK
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it goes when the driver's process ends."""
-    path = f"{shared_dir(spark)}/stratafile/{uuid.uuid4().hex}-{name}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path that :func:`new_path` gave, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _sweep() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            remove(spark, path)
-        except Exception:  # the session is gone: the folder's owner clears it
-            return
-
-
-atexit.register(_sweep)
-
-
-class Table:
-    """A DataFrame written once to the shared folder and read from there: cut lineage, no recomputation."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    return Table(df, name).df
-
-
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def rank_within(df: DataFrame, group: list[str], order: list[str], rank: str, n_rows: int) -> DataFrame:
-    """Adds ``rank``: 0, 1, 2, ... without gaps inside every group, whatever the group's size.
+def rank_within(df: DataFrame, group: list[str], order: list[str], rank: str) -> DataFrame:
+    """Adds ``rank``: 0, 1, 2, ... without gaps inside every group, whatever the group's size; equal rows get ranks of their own.
 
-    A group is dealt over buckets by a hash of ``order``; buckets are numbered
-    one by one and shifted by the counts of the buckets before them. No task
-    gets more than a bucket of a group, so one group may hold most rows.
-    ``n_rows`` only sets how many buckets there are.
+    Rows are dealt over ranges of their order, equal ones by where they were
+    read, so neither a group nor repeated rows meet in one task.
     """
-    buckets = max(256, n_rows // 20_000)
-    keys = [*group, "__bucket"]
-    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*keys).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    ranked = dealt.withColumn("__rank", F.row_number().over(inside))
-    on = [same(F.col(k), F.col(f"__s{i}")) for i, k in enumerate(keys)]
-    joined = ranked.join(shifts, on)
-    return joined.select(*df.columns, (F.col("__shift") + F.col("__rank") - 1).cast("long").alias(rank))
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    rows = ranking.ranked(tied, "__rank", group, [*[F.col(c) for c in order], F.col("__tie")])
+    return rows.select(*df.columns, (F.col("__rank") - 1).alias(rank))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -149,13 +77,3 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     least = roots.df.groupBy("to").agg(F.min("node").alias("component"))
     # the root itself is a node of the first round, so the smallest node of a root is the smallest of its component
     return roots.df.join(least, "to").select("node", "component")
-
-
-#: Rows of one or two numbers that may be broadcast: about 16 MB.
-BROADCAST_ROWS = 1_000_000
-
-
-def when_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for a broadcast if it was counted to be within ``rows``; else as it is, for a shuffled join."""
-    table = Table(df, "side").df
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table

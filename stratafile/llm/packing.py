@@ -111,7 +111,7 @@ def assign(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] =
     """Adds ``sequence_id`` and ``offset``. ``parts`` is read twice: pass a written table."""
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     runs = {k: np.array(v, dtype=np.int64) for k, v in plan(histogram, capacity).items()}
-    ranked = rank_within(parts, ["length"], list(order), "__rank", sum(histogram.values()))
+    ranked = rank_within(parts, ["length"], list(order), "__rank")
     out = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     n, at = len(parts.columns), parts.columns.index("length")
 

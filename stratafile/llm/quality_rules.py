@@ -5,15 +5,21 @@ tables: one of all documents, one of the trusted ones. A document's ratio is
 the mean, over its n-grams, of log(trusted share / corpus share); below
 ``LEAST_RATIO`` it is rejected. No document is sampled or skipped.
 
-There are ``BUCKETS`` buckets at least, and twice as many until none would hold
-more than ``PER_BUCKET`` n-grams on average: collisions draw every ratio
-towards 0, and so they stay as rare in a large corpus as in a small one.
-Weights are a table. Those of the fullest buckets are broadcast, and only
-n-grams of the others are shuffled. Weights are whole 100,000ths, so sums don't
-depend on their order. Ratios belong to a text's 64-bit hash: copies share one.
-
-Everything is DataFrame functions; words are ``[^\\x20\\x09-\\x0D]+``. Null
-texts have no words and fail the base rules.
+1-grams have a bucket for each 63-bit hash, so what is gathered grows with the
+corpus's vocabulary and collisions don't. Words seen fewer than ``LEAST_SEEN``
+times share one outcome. The weights of the most frequent words are broadcast;
+occurrences of the others, a small share of all, meet their weights by a
+shuffle. 2-grams have ``PAIR_BUCKETS`` buckets and one more for a word after
+itself: most pairs of words occur once and say nothing, and a count of fixed
+size combines in the task that reads the text. Weights are whole 100,000ths,
+so sums don't depend on their order. Ratios belong to a text's 64-bit hash:
+copies share one.
+
+Everything is DataFrame functions; words are ``[^\\x20\\x09-\\x0D]+``.
+``n_repeat_words`` compares 64-bit hashes of windows. Null texts have no words
+and fail the base rules. A null doc_id is never trusted; rows that repeat are
+judged alike, each once. Columns named like a result give way to it in
+:func:`judge`; :func:`accepted` keeps them.
 """
 
 from __future__ import annotations
@@ -21,19 +27,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, WORD, WORD_GAP, Table, when_small
+from ._shared import BROADCAST_ROWS, WORD, WORD_GAP, Table, few, when_small
 
-#: The least number of buckets.
-BUCKETS = 1 << 16
-PER_BUCKET = 16
+#: Buckets of 2-grams; the one after them is that of a word after itself.
+PAIR_BUCKETS = 1 << 17
+#: Words seen less often share one weight.
+LEAST_SEEN = 4
 SCALE = 100_000
-#: So many weights are broadcast at most.
+#: So many weights of words are broadcast at most.
 HEAD_ROWS = BROADCAST_ROWS
 LEAST_RATIO = -0.25
 SMOOTHING = 1.0
 SYMBOLS = "#*$%&|<>"
 GAPS = " \t\n\x0b\x0c\r"
 WINDOW = 5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def with_words(df: DataFrame, text: str) -> DataFrame:
@@ -41,23 +49,16 @@ def with_words(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__h", F.transform(F.array_remove(F.split("__t", WORD_GAP), ""), lambda w: F.xxhash64(w)))
 
 
-def grams(h: Column, buckets: int) -> Column:
-    """Buckets of the 1-grams and 2-grams of a hash array."""
-    n = F.size(h)
-    place = lambda x: F.pmod(x, F.lit(buckets).cast("long"))
-    one = F.transform(h, place)
-    two = F.transform(F.arrays_zip(F.slice(h, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(h, 2, F.greatest(n - 1, F.lit(0))).alias("b")), lambda p: place(F.xxhash64(p)))
-    return F.concat(one, two)
+def words(h: Column) -> Column:
+    """Buckets of the 1-grams of a hash array: all negative."""
+    return F.transform(h, lambda x: x.bitwiseOR(F.lit(-(1 << 63))))
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """The number of buckets for all n-grams of ``docs``: a power of two that grows with them."""
-    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), WORD_GAP), ""))
-    total = docs.agg(F.sum(F.greatest(2 * words - 1, F.lit(0)).cast("long")).alias("n")).first()["n"] or 0
-    buckets = BUCKETS
-    while buckets * PER_BUCKET < total:
-        buckets *= 2
-    return buckets
+def pairs(h: Column) -> Column:
+    """Buckets of the 2-grams of a hash array: 0 to ``PAIR_BUCKETS``."""
+    first = F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0)))
+    beside = lambda i: F.get(h, i + 1)
+    return F.transform(first, lambda x, i: F.when(x == beside(i), F.lit(PAIR_BUCKETS).cast("long")).otherwise(F.pmod(F.xxhash64(x, beside(i)), F.lit(PAIR_BUCKETS).cast("long"))))
 
 
 def base_counts(df: DataFrame) -> DataFrame:
@@ -90,51 +91,75 @@ def base_counts(df: DataFrame) -> DataFrame:
     return df.drop("__lines", "__w", "__s", "__p")
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, raw, weight) of every bucket in use, from counts over all of ``docs``; ``trusted`` has the doc_ids of the target."""
+def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(bucket, raw, good) of every bucket in use, over all of ``docs``; ``trusted`` has the doc_ids of the target."""
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.select("doc_id", "text").join(when_small(ids), F.col("doc_id") == F.col("__id"), "left")
-    rows = with_words(rows, "text").select(F.col("__id").isNotNull().alias("target"), F.explode(grams(F.col("__h"), buckets)).alias("bucket"))
-    counted = Table(rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("good")), "grams").df
-    total = counted.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("good"), F.lit(0)).alias("g")).first()
-    share = lambda c, n: F.log((F.col(c) + F.lit(SMOOTHING)) / F.lit(n + SMOOTHING * buckets))
-    weight = share("good", total["g"]) - share("raw", total["r"]) if total["g"] else F.lit(0.0)
-    return counted.select("bucket", "raw", F.round(weight * SCALE).cast("long").alias("weight"))
-
-
-def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(fingerprint, ratio) of every text with words; the fingerprint is the text's hash."""
-    buckets = bucket_count(docs)
-    table = weights(docs, trusted, buckets)
-    rows = with_words(docs.select("text"), "text").select(F.xxhash64("__t").alias("fingerprint"), F.explode(grams(F.col("__h"), buckets)).alias("bucket"))
+    rows = with_words(rows, "text").select(F.col("__id").isNotNull().cast("int").alias("target"), F.explode(F.concat(words(F.col("__h")), pairs(F.col("__h")))).alias("bucket"))
+    return rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").cast("long").alias("good"))
+
+
+def weigh(counted: DataFrame) -> tuple[DataFrame, int, Column]:
+    """(weights of words as (bucket, raw, weight), weight of a rare word, weights of pairs as an array) of counts."""
+    word, rare = F.col("bucket") < 0, (F.col("bucket") < 0) & (F.col("raw") < LEAST_SEEN)
+    told = lambda c, which: F.coalesce(F.sum(F.when(which, F.col(c))), F.lit(0))
+    t = counted.agg(told("raw", word).alias("r1"), told("good", word).alias("g1"), told("raw", ~word).alias("r2"), told("good", ~word).alias("g2"), told("raw", rare).alias("r0"), told("good", rare).alias("g0"), F.count_if(word & ~rare).alias("n")).first()
+
+    def weight(good, raw, all_good: int, all_raw: int, outcomes: int) -> Column:
+        share = lambda c, n: F.log((c + F.lit(SMOOTHING)) / F.lit(n + SMOOTHING * outcomes))
+        return F.round((share(good, all_good) - share(raw, all_raw)) * SCALE).cast("long") if all_good else F.lit(0).cast("long")
+
+    spoken = weight(F.col("good"), F.col("raw"), t["g1"], t["r1"], t["n"] + 1)
+    seldom = counted.sparkSession.range(1).select(weight(F.lit(t["g0"]), F.lit(t["r0"]), t["g1"], t["r1"], t["n"] + 1).alias("w")).first()["w"]
+    of_pair = counted.where(~word).select("bucket", weight(F.col("good"), F.col("raw"), t["g2"], t["r2"], PAIR_BUCKETS + 1).alias("weight"))
+    table = ["0"] * (PAIR_BUCKETS + 1)
+    for r in of_pair.collect():  # as many rows as there are buckets of pairs, whatever the corpus
+        table[r["bucket"]] = str(r["weight"])
+    return counted.where(word & ~rare).select("bucket", "raw", spoken.alias("weight")), seldom, F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
+
+
+def word_means(docs: DataFrame, weights: DataFrame, seldom: int) -> DataFrame:
+    """(fingerprint, mean weight of its words) of every text with words; the fingerprint is the text's hash."""
     bits = F.length(F.bin("raw"))
     least, room = 65, HEAD_ROWS
-    for r in table.groupBy(bits.alias("bits")).count().orderBy(F.desc("bits")).collect():  # 64 rows at most
+    for r in weights.groupBy(bits.alias("bits")).count().orderBy(F.desc("bits")).collect():  # 64 rows at most
         room -= r["count"]
         if room < 0:
             break
         least = r["bits"]
-    head = F.broadcast(table.where(bits >= least).select("bucket", "weight"))
-    sums = lambda df: df.groupBy("fingerprint").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
-    found = sums(rows.join(head, "bucket"))
-    if room < 0:
-        tail = table.where(bits < least).select("bucket", "weight")
-        rest = sums(rows.join(head.select("bucket"), "bucket", "left_anti").join(tail.hint("shuffle_merge"), "bucket"))
-        found = found.unionByName(rest).groupBy("fingerprint").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    return found.select("fingerprint", (F.col("total") / F.lit(float(SCALE)) / F.col("n")).alias("ratio"))
+    rows = with_words(docs.select("text"), "text").select(F.xxhash64("__t").alias("fingerprint"), F.explode(words(F.col("__h"))).alias("word"))
+    head = F.broadcast(weights.where(bits >= least).select(F.col("bucket").alias("word"), "weight"))
+    rows = rows.join(head, "word", "left")
+    if room >= 0:
+        found = rows.groupBy("fingerprint").agg(F.sum(F.coalesce("weight", F.lit(seldom))).alias("total"), F.count("*").alias("n"))
+    else:
+        # what the head has is summed up before the shuffle; no other word is frequent, so none is a hot key
+        missing = F.when(F.col("weight").isNull(), F.col("word"))
+        part = Table(rows.groupBy("fingerprint", missing.alias("missing")).agg(F.sum("weight").alias("total"), F.count("*").alias("n")), "word-sums").df
+        tail = weights.where(bits < least).select(F.col("bucket").alias("missing"), "weight")
+        rest = part.where("missing is not null").join(tail, "missing", "left").select("fingerprint", (F.coalesce("weight", F.lit(seldom)) * F.col("n")).alias("total"), "n")
+        both = part.where("missing is null").select("fingerprint", "total", "n").unionByName(rest)
+        found = both.groupBy("fingerprint").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return found.select("fingerprint", (F.col("total") / F.col("n")).alias("mean"))
 
 
 def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """All columns of ``docs`` (but those with a name that follows) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept."""
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
-    found = when_small(ratios(docs, trusted).select(F.col("fingerprint").alias("__print"), F.col("ratio").alias("__ratio")))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = base_counts(with_words(docs, "text")).select(*docs.columns, *counts, F.xxhash64("__t").alias("__own"))
-    rows = rows.join(found, F.col("__own") == F.col("__print"), "left").withColumn("ratio", F.when(~F.col("base_failed"), F.col("__ratio")))
+    docs = docs.drop(*COUNTS, "ratio", "kept")
+    counted = Table(counts(docs, trusted), "grams").df
+    weights, seldom, of_pair = weigh(counted)
+    means = Table(word_means(docs, weights, seldom).select(F.col("fingerprint").alias("__print"), F.col("mean").alias("__mean")), "means").df
+    rows = base_counts(with_words(docs, "text"))
+    total = F.aggregate(pairs(F.col("__h")), F.lit(0).cast("long"), lambda acc, b: acc + F.get(of_pair, b.cast("int")))
+    rows = rows.select(*docs.columns, *COUNTS, F.xxhash64("__t").alias("__own"), total.alias("__pairs"))
+    rows = rows.join(F.broadcast(means) if few(means) else means, F.col("__own") == F.col("__print"), "left")
+    n = F.col("n_words")
+    ratio = F.when(~F.col("base_failed"), (F.col("__mean") * n + F.col("__pairs")) / (2 * n - 1) / F.lit(float(SCALE)))
+    rows = rows.withColumn("ratio", ratio)
     kept = ~F.col("base_failed") & (F.col("ratio") >= LEAST_RATIO)
     # results leave through a generator: a caller's filter on one of them is then not rewritten into the array
     # expressions it comes from, which would work them out again for every element
-    return rows.select(*docs.columns, F.inline(F.array(F.struct(*counts, "ratio", F.coalesce(kept, F.lit(False)).alias("kept")))))
+    return rows.select(*docs.columns, F.inline(F.array(F.struct(*COUNTS, "ratio", F.coalesce(kept, F.lit(False)).alias("kept")))))
 
 
 def accepted(docs: DataFrame, trusted: DataFrame) -> DataFrame:

@@ -86,5 +86,5 @@ def shard(df: DataFrame, tree: Tree | None = None, key: str = "doc_id", text: st
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     placed = df.select(F.col(key), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), place(tree, F.col(key)).alias("shard"), place(tree.grow(), F.col(key)).alias("grown_shard"))
     table = Table(placed, "placed").df
-    ranked = rank_within(table, ["shard"], [key, "text_crc32", "size"], "slot", table.count())
+    ranked = rank_within(table, ["shard"], [key, "text_crc32", "size"], "slot")
     return ranked.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -60,21 +60,32 @@ def _signed(x):
 
 
 def grams(text, buckets):
+    """(buckets of the words, buckets of the pairs) of a text."""
     h = [_signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in WORD.findall(text or "")]
     pack = lambda x: (x & (1 << 64) - 1).to_bytes(8, "little")
-    two = [_signed(xxhash.xxh64_intdigest(pack(b), xxhash.xxh64_intdigest(pack(a), 42))) for a, b in zip(h, h[1:], strict=False)]
-    return [x % buckets for x in h + two]
-
-
-def ratios(docs, trusted, buckets, smoothing):
-    raw, good = [0] * buckets, [0] * buckets
-    for d, t in docs.items():
-        for g in grams(t, buckets):
-            raw[g] += 1
-            good[g] += d in trusted
-    r, g = sum(raw), sum(good)
-    weight = [round(math.log((b + smoothing) / (g + smoothing * buckets)) - math.log((a + smoothing) / (r + smoothing * buckets)), 5) if g else 0.0 for a, b in zip(raw, good, strict=True)]
-    return {d: sum(weight[x] for x in own) / max(1, len(own)) for d, t in docs.items() for own in [grams(t, buckets)]}
+    two = [buckets if a == b else _signed(xxhash.xxh64_intdigest(pack(b), xxhash.xxh64_intdigest(pack(a), 42))) % buckets for a, b in zip(h, h[1:], strict=False)]
+    return h, two
+
+
+def ratios(docs, trusted, buckets, least, smoothing):
+    each = {d: grams(t, buckets) for d, t in docs.items()}
+    weights = []
+    for k in (0, 1):
+        raw, good = {}, {}
+        for d, own in each.items():
+            for g in own[k]:
+                raw[g] = raw.get(g, 0) + 1
+                good[g] = good.get(g, 0) + (d in trusted)
+        pooled = (lambda g: g) if k else (lambda g, raw=dict(raw): g if raw[g] >= least else None)
+        total = {}
+        for g in raw:
+            a, b = total.get(pooled(g), (0, 0))
+            total[pooled(g)] = a + raw[g], b + good[g]
+        n = buckets + 1 if k else len(total.keys() - {None}) + 1
+        r, s = sum(raw.values()), sum(good.values())
+        of = {g: round(math.log((b + smoothing) / (s + smoothing * n)) - math.log((a + smoothing) / (r + smoothing * n)), 5) if s else 0.0 for g, (a, b) in total.items()}
+        weights.append({g: of[pooled(g)] for g in raw})
+    return {d: (sum(weights[0][g] for g in one) + sum(weights[1][g] for g in two)) / max(1, len(one) + len(two)) for d, (one, two) in each.items()}
 
 
 def luhn(digits):

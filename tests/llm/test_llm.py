@@ -54,7 +54,7 @@ def test_components(spark):
 def test_rank_within(spark):
     df = spark.createDataFrame([(i % 2 if i % 5 else None, i // 3) for i in range(100)], "g int, x int")
     ranks = {}
-    for r in _shared.rank_within(df, ["g"], ["x"], "k", 100).collect():
+    for r in _shared.rank_within(df, ["g"], ["x"], "k").collect():
         ranks.setdefault(r["g"], []).append(r["k"])
     assert all(sorted(v) == list(range(len(v))) for v in ranks.values()) and sum(map(len, ranks.values())) == 100
 
@@ -218,7 +218,7 @@ def test_op4_plan_is_whole():
 def test_op5_brute_force(spark):
     texts = texts_of(spark)
     trusted = {r["doc_id"] for r in table(spark, "labels").where("quality = 1").collect()}
-    ratio = brute.ratios(texts, trusted, quality_rules.BUCKETS, quality_rules.SMOOTHING)
+    ratio = brute.ratios(texts, trusted, quality_rules.PAIR_BUCKETS, quality_rules.LEAST_SEEN, quality_rules.SMOOTHING)
     for r in queries.op5_ngram_ratio_rules(spark, SMALL).collect():
         want = brute.base_counts(texts[r["doc_id"]])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want
@@ -255,15 +255,11 @@ def test_op5_bad_documents_go_at_any_size(spark):
     assert shares[1]["bad"] <= shares[0]["bad"] and shares[1]["good"] >= 0.99, shares
 
 
-def test_op5_more_buckets_and_shuffled_weights(spark, monkeypatch):
+def test_op5_weights_met_by_a_shuffle(spark, monkeypatch):
     texts = texts_of(spark)
     trusted = table(spark, "labels").where("quality = 1")
-    monkeypatch.setattr(quality_rules, "PER_BUCKET", 1)
     monkeypatch.setattr(quality_rules, "HEAD_ROWS", 500)
-    buckets = quality_rules.bucket_count(table(spark, "documents"))
-    n = sum(len(brute.grams(t, buckets)) for t in texts.values())
-    assert buckets // 2 < n <= buckets
-    ratio = brute.ratios(texts, {r["doc_id"] for r in trusted.collect()}, buckets, quality_rules.SMOOTHING)
+    ratio = brute.ratios(texts, {r["doc_id"] for r in trusted.collect()}, quality_rules.PAIR_BUCKETS, quality_rules.LEAST_SEEN, quality_rules.SMOOTHING)
     for r in quality_rules.judge(table(spark, "documents"), trusted).where("not base_failed").collect():
         assert abs(r["ratio"] - ratio[r["doc_id"]]) < 1e-4
 

@@ -24,7 +24,7 @@ def test_stages(spark):
     two = corpus_pipeline.written(steps["quality rules"](spark, one, SMALL), "t")
     kept = text(one)
     trusted = {r["doc_id"] for r in labels.where("quality = 1").collect()}
-    ratio = brute.ratios(kept, trusted, quality_rules.BUCKETS, quality_rules.SMOOTHING)
+    ratio = brute.ratios(kept, trusted, quality_rules.PAIR_BUCKETS, quality_rules.LEAST_SEEN, quality_rules.SMOOTHING)
     assert two.columns == docs.columns and set(text(two)) == {d for d, t in kept.items() if not brute.base_counts(t)[5] and ratio[d] >= quality_rules.LEAST_RATIO}
 
     three = corpus_pipeline.written(steps["minhash near-dedup"](spark, two, SMALL), "t")
