@@ -34,8 +34,8 @@ PAIR_BUCKETS = 1 << 17
 #: Words seen less often share one weight.
 LEAST_SEEN = 4
 SCALE = 100_000
-#: So many weights of words are broadcast at most.
-HEAD_ROWS = BROADCAST_ROWS
+#: So many weights of words are broadcast at most: about 130 MB in an executor.
+HEAD_ROWS = 2 * BROADCAST_ROWS
 LEAST_RATIO = -0.25
 SMOOTHING = 1.0
 SYMBOLS = "#*$%&|<>"
@@ -54,18 +54,24 @@ def words(h: Column) -> Column:
     return F.transform(h, lambda x: x.bitwiseOR(F.lit(-(1 << 63))))
 
 
-def pairs(h: Column) -> Column:
-    """Buckets of the 2-grams of a hash array: 0 to ``PAIR_BUCKETS``."""
+def beside(h: Column) -> Column:
+    """A hash of each word and the next one; its last bit says that they are the same."""
     first = F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0)))
-    beside = lambda i: F.get(h, i + 1)
-    return F.transform(first, lambda x, i: F.when(x == beside(i), F.lit(PAIR_BUCKETS).cast("long")).otherwise(F.pmod(F.xxhash64(x, beside(i)), F.lit(PAIR_BUCKETS).cast("long"))))
+    both = lambda x, y: F.when(x == y, F.xxhash64(x, y).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(x, y).bitwiseAND(F.lit(-2)))
+    return F.transform(first, lambda x, i: both(x, F.get(h, i + 1)))
+
+
+def pair_bucket(p: Column) -> Column:
+    """The bucket of a 2-gram, 0 to ``PAIR_BUCKETS``, from its hash of :func:`beside`."""
+    return F.when(p.bitwiseAND(F.lit(1)) == 1, F.lit(PAIR_BUCKETS)).otherwise(F.shiftrightunsigned(p, 1).bitwiseAND(F.lit(PAIR_BUCKETS - 1)).cast("int"))
 
 
 def base_counts(df: DataFrame) -> DataFrame:
     """Adds the base counts to rows that :func:`with_words` made."""
     t, h, n = F.col("__t"), F.col("__h"), F.size("__h")
-    df = df.withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: x.rlike(WORD)))
-    windows = F.when(n >= WINDOW, F.transform(F.slice(h, 1, n - WINDOW + 1), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: x.rlike(WORD))).withColumn("__b", beside(h))
+    # five words are two pairs and a word
+    windows = F.when(n >= WINDOW, F.transform(F.slice("__b", 1, n - WINDOW + 1), lambda p, i: F.xxhash64(p, F.get("__b", i + 2), F.get(h, i + 4)))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("__w", windows)
     w = F.col("__w")
     # where a window's hash has an equal neighbour once sorted, its place is covered, and so are the four words after it
@@ -95,7 +101,8 @@ def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, raw, good) of every bucket in use, over all of ``docs``; ``trusted`` has the doc_ids of the target."""
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.select("doc_id", "text").join(when_small(ids), F.col("doc_id") == F.col("__id"), "left")
-    rows = with_words(rows, "text").select(F.col("__id").isNotNull().cast("int").alias("target"), F.explode(F.concat(words(F.col("__h")), pairs(F.col("__h")))).alias("bucket"))
+    of_pairs = F.transform(beside(F.col("__h")), lambda p: pair_bucket(p).cast("long"))
+    rows = with_words(rows, "text").select(F.col("__id").isNotNull().cast("int").alias("target"), F.explode(F.concat(words(F.col("__h")), of_pairs)).alias("bucket"))
     return rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").cast("long").alias("good"))
 
 
@@ -127,7 +134,8 @@ def word_means(docs: DataFrame, weights: DataFrame, seldom: int) -> DataFrame:
         if room < 0:
             break
         least = r["bits"]
-    rows = with_words(docs.select("text"), "text").select(F.xxhash64("__t").alias("fingerprint"), F.explode(words(F.col("__h"))).alias("word"))
+    # the text's hash is a column before words are rows: else it would be worked out again for every word
+    rows = with_words(docs.select("text"), "text").select(F.xxhash64("__t").alias("fingerprint"), words(F.col("__h")).alias("words")).select("fingerprint", F.explode("words").alias("word"))
     head = F.broadcast(weights.where(bits >= least).select(F.col("bucket").alias("word"), "weight"))
     rows = rows.join(head, "word", "left")
     if room >= 0:
@@ -150,7 +158,7 @@ def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     weights, seldom, of_pair = weigh(counted)
     means = Table(word_means(docs, weights, seldom).select(F.col("fingerprint").alias("__print"), F.col("mean").alias("__mean")), "means").df
     rows = base_counts(with_words(docs, "text"))
-    total = F.aggregate(pairs(F.col("__h")), F.lit(0).cast("long"), lambda acc, b: acc + F.get(of_pair, b.cast("int")))
+    total = F.aggregate("__b", F.lit(0).cast("long"), lambda acc, p: acc + F.get(of_pair, pair_bucket(p)))
     rows = rows.select(*docs.columns, *COUNTS, F.xxhash64("__t").alias("__own"), total.alias("__pairs"))
     rows = rows.join(F.broadcast(means) if few(means) else means, F.col("__own") == F.col("__print"), "left")
     n = F.col("n_words")

@@ -63,7 +63,7 @@ def grams(text, buckets):
     """(buckets of the words, buckets of the pairs) of a text."""
     h = [_signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in WORD.findall(text or "")]
     pack = lambda x: (x & (1 << 64) - 1).to_bytes(8, "little")
-    two = [buckets if a == b else _signed(xxhash.xxh64_intdigest(pack(b), xxhash.xxh64_intdigest(pack(a), 42))) % buckets for a, b in zip(h, h[1:], strict=False)]
+    two = [buckets if a == b else (xxhash.xxh64_intdigest(pack(b), xxhash.xxh64_intdigest(pack(a), 42)) >> 1) % buckets for a, b in zip(h, h[1:], strict=False)]
     return h, two
 
 
