@@ -5,13 +5,17 @@ a WARC file of the shared folder, each record a gzip member of its own, and
 returns the manifest of files.
 ``read(manifest)`` streams the files back into chunk rows: record identifier,
 chunk number, the chunk, and the payload's length and SHA-256 up to and with
-that chunk. Neither side ever holds more than a chunk of a record in Python.
+that chunk. Neither side ever holds more than a chunk of a record in Python,
+and either digests chunk by chunk: the writer stops if a record's chunks don't
+add up to the digest in its header.
 
-A null payload counts as empty. Of records with equal payloads of at least
+Which record is the response of its digest is worked out on digests and keys
+alone; the payloads stay where they were read. A null payload counts as empty. Of records with equal payloads of at least
 ``REVISIT_FROM`` bytes the one with the smallest key is a response and the
 others revisit it; a revisit keeps the response's HTTP header, so length and
 digest of the full payload survive. Rows that repeat the smallest key, or have
-no key to refer to, stay responses.
+no key to refer to, stay responses. Other columns, whatever their names, are
+left out.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Table, new_path, same
+from ._shared import Table, few, new_path, same
 
 CHUNK = 1 << 20
 FILE_BYTES = 64 << 20
@@ -37,6 +41,8 @@ LEVEL = 3
 REVISIT_FROM = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Parts that the rows of a digest are dealt into where digests are joined by a shuffle.
+SALTS = 64
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 CHUNK_SCHEMA = "record_id string, key long, record_type string, refers_to long, chunk_no long, chunk binary, payload_bytes long, payload_digest string, is_last boolean"
 
@@ -79,7 +85,14 @@ def records(df: DataFrame, key: str = "page_id", payload: str = "html", url: str
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), data.alias("body"), F.octet_length(data).cast("long").alias("payload_bytes"), F.sha2(data, 256).alias("payload_digest"))
     large = rows.select("key", "payload_bytes", "payload_digest").where(F.col("payload_bytes") >= REVISIT_FROM)
     firsts = large.groupBy(F.col("payload_digest").alias("__digest")).agg(F.min("key").alias("__first"), F.count("*").alias("__n")).where("__n > 1 and __first is not null").drop("__n")
-    rows = rows.join(firsts, same(F.col("payload_digest"), F.col("__digest")), "left")
+    firsts = Table(firsts, "responses").df
+    if few(firsts):
+        rows = rows.join(F.broadcast(firsts), F.col("payload_digest") == F.col("__digest"), "left")
+    else:
+        # repeated digests don't fit a broadcast: keys that revisit are found on narrow rows, digests dealt by key as well
+        salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
+        told = firsts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("__salt"))
+        rows = rows.withColumn("__own", F.when(F.col("payload_bytes") >= REVISIT_FROM, F.col("payload_digest")).otherwise(F.uuid())).join(told, (F.col("__own") == F.col("__digest")) & (salt == F.col("__salt")), "left")
     again = F.col("__first").isNotNull() & ~same(F.col("key"), F.col("__first"))
     kind = F.when(again, "revisit").otherwise("response")
     return rows.select("key", "url", kind.alias("record_type"), F.when(again, F.col("__first")).alias("refers_to"), "payload_bytes", "payload_digest", F.when(again, F.lit(b"")).otherwise(F.col("body")).alias("body"))
@@ -104,7 +117,7 @@ def write(df: DataFrame, folder: str | None = None, key: str = "page_id", payloa
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        done, file, member, n, size, name = [], None, None, 0, 0, ""
+        done, file, member, digest, n, size, name = [], None, None, None, 0, 0, ""
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(9)), strict=True):
                 number, last = row[6].as_py(), row[7].as_py()
@@ -115,10 +128,13 @@ def write(df: DataFrame, folder: str | None = None, key: str = "page_id", payloa
                             done.append((name, n, size))
                         name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                         file, n, size = fs.open_output_stream(f"{root}/{name.rpartition('/')[2]}", compression=None), 0, 0
-                    member, n = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), n + 1
+                    member, digest, n = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), hashlib.sha256(), n + 1
                     size += file.write(member.compress(warc_header(*(x.as_py() for x in row[:6]))))
+                digest.update(row[8].as_buffer())
                 size += file.write(member.compress(row[8].as_buffer()))
                 if last:
+                    if row[2].as_py() == "response" and digest.hexdigest() != row[5].as_py():
+                        raise ValueError(f"the chunks of record {row[0].as_py()} don't add up to its digest")
                     size += file.write(member.compress(b"\r\n\r\n") + member.flush())
         if file is not None:
             file.close()
