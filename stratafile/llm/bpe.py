@@ -5,11 +5,14 @@ of every id list, both as the tokenizers library does with the same file.
 
 A text is cut at single spaces between two non-space characters: no piece of
 the pre-tokenizer's pattern spans such a cut, so the units between cuts are
-encoded on their own and a bounded cache keeps what came out. Only units not
-in the cache go through the pattern and the queue.
+encoded on their own and one cache of at most ``CACHE_BYTES`` keeps what came
+out. Only units not in the cache go through the pattern and the queue.
 
 Null texts count as empty: no ids, empty decoded text. Ids are little-endian
-unsigned 32-bit integers in one binary value.
+unsigned 32-bit integers in one binary value. Rows with a null key and rows
+that repeat are encoded each by itself; other columns, whatever their names,
+are left out by :func:`encode` and kept by :func:`decode`, but for one named
+``decoded``, which gives way.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: The pre-tokenizer's pattern (fixed values).
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
-CACHED_UNITS = 600_000
+#: What a worker's cache of units may take, counted with what Python adds to each entry.
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 230
 #: Marks that end words; none is a letter, a number, white space or an apostrophe.
 MARKS = ".,;:!?#*$%&|"
 LONGEST_CACHED = 64
@@ -43,17 +48,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of every id of a byte-level BPE file."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    letters = {c: b for b, c in enumerate(byte_letters())}
+    special = {x["content"]: x["id"] for x in told.get("added_tokens", [])}
+    of = {i: bytes(letters[c] for c in token) for token, i in told["model"]["vocab"].items() if token not in special}
+    return of | {i: s.encode() for s, i in special.items()}
+
+
 class Vocabulary:
-    """What a byte-level BPE file says: ids, their bytes, merge ranks, special strings."""
+    """What a byte-level BPE file says to an encoder: ids of bytes, merge ranks, special strings."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        letters = {c: b for b, c in enumerate(byte_letters())}
         ids = told["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in told.get("added_tokens", [])}
-        self.bytes_of = {i: bytes(letters[c] for c in token) for token, i in ids.items() if token not in self.special}
-        self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.of_byte = [ids[c] for c in byte_letters()]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(told["model"]["merges"]):
@@ -103,23 +115,10 @@ class QueueBackend:
         self.vocabulary = Vocabulary(path)
         self.special = self.vocabulary.special
         self.pieces = regex.compile(PATTERN).findall
-        self.kept: dict[str, list[int]] = {}
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
-        out, kept, merge = [], self.kept, self.vocabulary.merge
-        for unit in units:
-            ids: list[int] = []
-            for piece in self.pieces(unit):
-                found = kept.get(piece)
-                if found is None:
-                    found = merge(piece.encode())
-                    if len(piece) <= LONGEST_CACHED:
-                        if len(kept) >= CACHED_UNITS:
-                            kept.clear()
-                        kept[piece] = found
-                ids += found
-            out.append(ids)
-        return out
+        pieces, merge = self.pieces, self.vocabulary.merge
+        return [[i for piece in pieces(unit) for i in merge(piece.encode())] for unit in units]
 
 
 class LibraryBackend:
@@ -159,8 +158,8 @@ class Encoder:
         import re
 
         self.backend = backend
-        self.inner: dict[str, bytes] = {}  # by what follows a space
-        self.firsts: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}  # by what follows a space; a first unit is kept under a space and itself
+        self.held = 0
         self.cuts = re.compile(r"(?<=\S) (?=\S)").split
         self.by_special = re.compile("(" + "|".join(map(re.escape, sorted(backend.special, key=len, reverse=True))) + ")").split if backend.special else None
 
@@ -188,12 +187,22 @@ class Encoder:
         if not first or rest and first[-1].isspace() or any(not u or u[0].isspace() or u[-1].isspace() for u in missing):
             first, *rest = self.cuts(text)  # white space beside a space: no cut there, and such units stay out of the cache
             return self._first(first) + b"".join(self._packed([" " + u for u in rest]))
-        if len(inner) + len(missing) > CACHED_UNITS:
-            inner.clear()
-            missing = set(rest)
-        fresh = self._fresh(missing)
-        inner.update((u, ids) for u, ids in fresh.items() if len(u) <= LONGEST_CACHED)
-        return self._first(first) + b"".join([fresh[u] if u in fresh else inner[u] for u in rest])
+        here = {u: inner[u] for u in set(rest) - missing}
+        here |= (fresh := self._fresh(missing))
+        data = b"".join([here[u] for u in rest])
+        self._keep(fresh)
+        return self._first(first) + data
+
+    def _keep(self, fresh: dict[str, bytes]) -> None:
+        """Puts units into the cache, which starts anew when it is full."""
+        for unit, ids in fresh.items():
+            if len(unit) <= LONGEST_CACHED and unit not in self.inner:
+                cost = ENTRY_BYTES + 2 * len(unit) + len(ids)
+                if self.held + cost > CACHE_BYTES:
+                    self.inner.clear()
+                    self.held = 0
+                self.held += cost
+                self.inner[unit] = ids
 
     def _fresh(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of units after a space. Letters and the marks after them are pre-tokens of their own, each looked up by itself."""
@@ -207,20 +216,20 @@ class Encoder:
             else:
                 whole.append(unit)
         whole = list(dict.fromkeys(whole))
+        # looked up before anything new is kept, which may empty the cache
+        known = {stem: self.inner[stem] for _, stem in composed if stem in self.inner}
+        marks = {m: self._first(m) for m in {unit[len(stem) :] for unit, stem in composed}}
         fresh = dict(zip(whole, self._spaced(whole), strict=True))
         for unit, stem in composed:
-            fresh[unit] = (fresh[stem] if stem in fresh else self.inner[stem]) + self._first(unit[len(stem) :])
+            fresh[unit] = (fresh[stem] if stem in fresh else known[stem]) + marks[unit[len(stem) :]]
         return fresh
 
     def _first(self, unit: str) -> bytes:
         """Ids of a text's first unit, which has no space before it."""
-        found = self.firsts.get(unit)
+        found = self.inner.get(" " + unit)
         if found is None:
             found = self._packed([unit])[0]
-            if len(unit) <= LONGEST_CACHED:
-                if len(self.firsts) >= CACHED_UNITS // 8:
-                    self.firsts.clear()
-                self.firsts[unit] = found
+            self._keep({" " + unit: found})
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -246,7 +255,7 @@ def encoder(path: str, backend: str = "queue") -> Encoder:
 
 def vocabulary_bytes(path: str) -> dict[int, bytes]:
     if path not in _BYTES:
-        _BYTES[path] = Vocabulary(path).bytes_of
+        _BYTES[path] = token_bytes(path)
     return _BYTES[path]
 
 
@@ -276,6 +285,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ba
 
 def decode(df: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` to a result of :func:`encode`."""
+    df = df.drop("decoded")
     out = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
     at, names = df.columns.index("ids"), [*df.columns, "decoded"]
 
