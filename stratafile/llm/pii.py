@@ -17,7 +17,8 @@ which rules out common word pairs, and the rest over all documents.
 
 DataFrame functions only. Offsets are code points, ends exclusive. A null text
 counts as empty. Rows with the same doc_id and the same text have the same
-spans; a null doc_id is a value like any other.
+spans; a null doc_id is a value like any other. Columns named like a result
+are left out by :func:`find` and kept by :func:`redact`.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD_GAP, Table, same, when_small
+from ._shared import WORD_GAP, Table, few, same, when_small
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS, CONFIDENT, LEAST_SUPPORT = 3, 0.8, 3
@@ -45,13 +46,43 @@ HEX_KEY = r"^[0-9a-fA-F]{32,}$"
 IDENTIFIER = r"^(?=.*[0-9])[A-Za-z0-9@_+=/.:-]{6,}$"
 
 
+#: Long arrays are folded in runs of so many, so the work doesn't grow with the square of their length.
+RUN = 256
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_runs(items: Column) -> Column:
+    """An array cut into arrays of at most ``RUN``."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.slice(items, k, RUN))
+
+
+def running(values: Column, step) -> Column:
+    """What ``step``, a sum or a maximum from 0, comes to at each place of an array<int>: inside each run, and over the runs."""
+    fold = lambda xs, start: F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+    rest = lambda xs: F.slice(xs, 2, RUN)
+
+    def over(runs: Column) -> Column:
+        whole = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), step))
+        return bound(fold(whole, F.lit(0)), lambda at: F.flatten(F.transform(runs, lambda r, k: rest(fold(r, F.get(at, k))))))
+
+    return bound(values, lambda v: bound(in_runs(v), over))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<m, start, end>> of all matches, leftmost first."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + F.length(x["b"])).alias("start"), (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("end")))).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,end:int>>").alias("out"))
     pairs = F.filter(F.arrays_zip(found.alias("m"), between.alias("b")), lambda x: x["m"].isNotNull())
-    return F.aggregate(pairs, start, step)["out"]
+
+    def placed(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda x: F.length(x["b"]) + F.length(x["m"])), lambda a, b: a + b)
+        return F.transform(F.arrays_zip(pairs.alias("p"), ends.alias("e")), lambda x: F.struct(x["p"]["m"].alias("m"), (x["e"] - F.length(x["p"]["m"])).alias("start"), x["e"].alias("end")))
+
+    return bound(pairs, placed)
 
 
 def small_part(part: Column) -> Column:
@@ -135,7 +166,9 @@ def places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = docs.select(F.concat(F.array(F.lit("^"), F.lit("^")), words).alias("w"))
     rows = rows.select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p"))
     rows = rows.select(context(F.col("p.a"), F.col("p.b")).alias("pattern"))
-    return rows.join(wanted, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("places"))
+    # few patterns are looked up where the words are; many only meet what the tasks have counted
+    count = lambda df: df.groupBy("pattern").agg(F.count("*").alias("places"))
+    return count(rows.join(F.broadcast(wanted), "pattern", "left_semi")) if few(wanted) else count(rows).join(wanted, "pattern", "left_semi")
 
 
 def confident_patterns(read: DataFrame, docs: DataFrame) -> DataFrame:
@@ -148,11 +181,10 @@ def confident_patterns(read: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = Table(edges.groupBy("pattern").agg(F.count("*").alias("k"), most).where(F.col("k") >= LEAST_SUPPORT).select("pattern", "most"), "wanted").df
     for share in SHARES:
         part = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-        known = wanted.join(places(part, when_small(wanted.select("pattern"))), "pattern", "left")
+        known = wanted.join(places(part, wanted.select("pattern")), "pattern", "left")
         wanted = Table(known.where("places is null or places <= most").select("pattern", "most"), "wanted").df
-    wanted = when_small(wanted.select("pattern"))
-    counted = Table(places(docs, wanted), "places").df
-    edges = Table(edges.join(wanted, "pattern", "left_semi").join(counted, "pattern"), "graph").df
+    counted = Table(places(docs, wanted.select("pattern")), "places").df
+    edges = Table(edges.join(counted, "pattern"), "graph").df
     trust = None
     patterns = None
     for turn in range(ROUNDS):
@@ -198,12 +230,19 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     t = F.coalesce(F.col(text), F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def put(spans: Column, far: Column) -> Column:
+        """The text between spans and the spans' names; a span that begins inside an earlier one is part of it. ``far``: the furthest end so far."""
+        own = F.transform(spans, lambda s, k: F.struct(F.when(k > 0, F.get(far, k - 1)).otherwise(0).alias("before"), s["start"].alias("start"), s["kind"].alias("kind")))
+
+        def of_run(run: Column) -> Column:
+            begin = run[0]["before"]
+            part = F.substring(t, begin + 1, F.element_at(run, -1)["start"] - begin)
+            return bound(part, lambda part: F.array_join(F.transform(run, lambda x: F.concat(F.substring(part, x["before"] - begin + 1, x["start"] - x["before"]), F.get(names, x["kind"]))), ""))
+
+        pieces = bound(F.filter(own, lambda x: x["start"] >= x["before"]), lambda own: F.transform(in_runs(own), of_run))
+        return F.concat(F.array_join(pieces, ""), F.substring(t, F.element_at(far, -1) + 1, F.length(t)))
 
-    done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    done = bound(F.struct(F.col("__spans").alias("s"), running(F.transform("__spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b)).alias("far")), lambda x: put(x["s"], x["far"]))
     rows = docs.withColumn("__fp", F.xxhash64(t)).join(found, same(F.col(key), F.col("__doc")) & (F.col("__fp") == F.col("__print")), "left")
     rows = rows.withColumn(text, F.when(F.col("__spans").isNotNull(), done).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
