@@ -5,23 +5,31 @@
    ``BITS`` parity bits, so the XOR of two sketches counts the samples in which
    the two sets differ.
 2. Texts with equal sets are one class, held by its smallest doc_id.
-3. Classes that share a band key meet in a bucket; a large bucket is dealt into
-   blocks, and a task gets two blocks of it. Sketches decide which pairs are
-   worth a look: ``FAR_BITS`` lies more than five standard deviations beyond
-   what two sets of similarity 0.75 differ by.
-4. Each task gives the spanning forest of its most similar pairs, not all
-   pairs. They are confirmed on the full sets and joined into components.
-5. Pairs in sketch range whose ends are still apart get a second odd sketch,
-   of the whole sets: each bit in which two of them differ is a shingle that
-   only one set has, so it bounds the similarity from above without error.
-   Every pair that the bound leaves is confirmed too, so at the end each pair
-   in range is in one component or is known not to link.
+3. Classes that share a band key meet in a bucket. A large bucket is dealt into
+   blocks before its rows are joined to anything, so no task gets more than a
+   block of a key. Sketches decide which pairs are worth a look: ``FAR_BITS``
+   lies more than five standard deviations beyond what two sets of similarity
+   0.75 differ by.
+4. Each block gives the spanning forest of its most similar pairs, not all
+   pairs, and one head for each tree; heads of a bucket's blocks meet in turn.
+   The pairs are confirmed on the full sets and joined into components.
+5. Where ends are still apart in a bucket, the classes outside its largest
+   component meet all of the bucket; those inside it don't meet each other.
+   Pairs in sketch range get a second odd sketch, of the whole sets: each bit
+   in which two of them differ is a shingle that only one set has, so it
+   bounds the similarity from above without error. Every pair that the bound
+   leaves is confirmed too, so at the end each pair in range is in one
+   component or is known not to link.
 
 Words are runs of bytes outside ``[\\x20\\x09-\\x0D]`` of the text with A-Z
 lower-cased. With fewer than five words the whole sequence is the only
 shingle; texts without words and nulls have an empty set and link with
-nothing, as do rows without a doc_id. Rows that repeat a doc_id are judged row
-by row.
+nothing, as do rows without a doc_id. Rows that repeat a doc_id are one node of
+the graph with the texts of all of them, and each keeps its own n_shingles.
+Sets are compared as sets of 64-bit hashes of shingles: two shingles with one
+hash would count as one, which for a pair of texts of a million shingles has a
+chance of about 1e-7. Other columns, whatever their names, are left out by
+:func:`near_duplicates` and kept by :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -34,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Table, components, same
+from ._shared import Table, components, few, join_popular, same, when_small
 
 WORDS = 5
 SAMPLES, BANDS = 128, 32
@@ -203,29 +211,80 @@ def apart(rep: np.ndarray, comp: np.ndarray, size: np.ndarray, words: np.ndarray
                 yield int(rep[i]), int(rep[k])
 
 
-def _meet(rows: DataFrame, everything: bool) -> DataFrame:
-    """Distinct pairs (u, v), u < v, of ``rows`` (key, n, rep, component, size, sketch, fine)."""
-    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("parts")).cast("int")
-    dealt = rows.withColumn("parts", parts).withColumn("own", own)
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own")))
-    dealt = dealt.withColumn("other", F.explode(others))
-    dealt = dealt.select("key", F.least("own", "other").cast("long").alias("a"), F.greatest("own", "other").cast("long").alias("b"), "rep", "component", "size", "sketch", "fine")
-    dealt = dealt.repartition(F.col("key"), F.col("a"), F.col("b")).sortWithinPartitions("key", "a", "b", "rep")
+def _grouped(rows: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Rows as :func:`_runs` reads them: each (key, a, b) together."""
+    told = rows.select("key", F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), "rep", "component", "size", "sketch", "fine")
+    return told.repartition(F.col("key"), F.col("a"), F.col("b")).sortWithinPartitions("key", "a", "b", "rep")
 
-    def work(batches):
+
+def _dealt(rows: DataFrame, n: str) -> DataFrame:
+    """Adds ``parts``, how many blocks the bucket of ``n`` rows has, and ``own``, the row's block."""
+    rows = rows.withColumn("parts", F.ceil(F.col(n) / F.lit(BLOCK)).cast("int"))
+    return rows.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("parts")).cast("int"))
+
+
+def _pairs(rows: DataFrame, work) -> DataFrame:
+    """The distinct pairs (u, v), u < v, that ``work`` finds in each group of :func:`_grouped` rows; a single node is (u, u)."""
+
+    def turn(batches):
         us, vs = [], []
-        for rep, comp, size, words, fine in _runs(batches):
-            for u, v in apart(rep, comp, size, words, fine) if everything else forest(rep, words):
-                if u != v:
-                    us.append(min(u, v))
-                    vs.append(max(u, v))
+        make = lambda: pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        for group in _runs(batches):
+            for u, v in work(*group):
+                us.append(min(u, v))
+                vs.append(max(u, v))
                 if len(us) >= 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                    yield make()
                     us, vs = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        yield make()
+
+    return rows.mapInArrow(turn, "u long, v long").distinct()
+
 
-    return dealt.mapInArrow(work, "u long, v long").distinct()
+def _forest_and_heads(rep, comp, size, words, fine) -> Iterator[tuple[int, int]]:
+    links = forest(rep, words)
+    yield from links
+    yield from ((int(r), int(r)) for r in set(rep.tolist()) - {v for _, v in links})
+
+
+def _every_part(rows: DataFrame, parts: str, other: str, but_own: bool) -> DataFrame:
+    """Rows for each block of their bucket; one row where there is a single block."""
+    all_ = F.sequence(F.lit(0), F.col(parts) - 1)
+    some = F.when(F.col(parts) == 1, F.array(F.lit(0))).otherwise(F.filter(all_, lambda x: x != F.col("own"))) if but_own else all_
+    return rows.withColumn(other, F.explode(some))
+
+
+def _meet_heads(dealt: DataFrame) -> DataFrame:
+    """Pairs that connect each bucket's candidates: forests of blocks, then forests of the heads of a large bucket's trees."""
+    plain = lambda rep, comp, size, words, fine: forest(rep, words)
+    found = _pairs(_grouped(dealt.where("parts = 1"), "own", "own"), plain)
+    large = dealt.where("parts > 1")
+    if large.isEmpty():
+        return found
+    first = Table(_pairs(_grouped(large, "own", "own"), _forest_and_heads), "block-pairs").df
+    heads = large.join(first.where("u = v").select(F.col("u").alias("rep")), "rep", "left_semi")
+    counts = Table(heads.groupBy("key").agg(F.count("*").alias("n_heads")).select(F.col("key").alias("__k"), "n_heads"), "heads").df
+    met = heads.join(F.broadcast(counts) if few(counts) else counts, F.col("key") == F.col("__k"))
+    met = _every_part(_dealt(met, "n_heads"), "parts", "other", True)
+    met = met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return found.unionByName(first.where("u < v")).unionByName(_pairs(_grouped(met, "lo", "hi"), plain)).distinct()
+
+
+def _meet_apart(dealt: DataFrame, fines: DataFrame) -> DataFrame:
+    """All pairs in sketch range of each bucket whose components differ, (u, v) with u < v."""
+    sizes = dealt.groupBy("key", "component").agg(F.count("*").alias("m"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
+    top = Table(top.select(F.col("key").alias("__k"), F.col("top.component").alias("main"), (F.col("all") - F.col("top.m")).alias("n_out")).where("n_out > 0"), "apart-buckets").df
+    rows = dealt.join(F.broadcast(top) if few(top) else top, F.col("key") == F.col("__k")).join(fines, "rep")
+    rows = rows.withColumn("out", F.col("component") != F.col("main")).withColumn("outs", F.ceil(F.col("n_out") / F.lit(BLOCK)).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64(F.lit(6), "rep"), F.col("outs")).cast("int"))
+    # classes outside the main component meet each block of those inside, and each other, two blocks at a time
+    among = rows.where("out and outs > 1").withColumn("own", F.col("mine"))
+    among = _every_part(among, "outs", "other", True).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    across = _every_part(rows.where("out"), "parts", "inner", False).withColumn("lo", -1 - F.col("mine")).withColumn("hi", F.col("inner"))
+    across = across.drop("inner").unionByName(_every_part(rows.where("not out"), "outs", "to", False).withColumn("lo", -1 - F.col("to")).withColumn("hi", F.col("own")).drop("to"))
+    columns = ["key", "lo", "hi", "rep", "component", "size", "sketch", "fine"]
+    return _pairs(_grouped(among.select(*columns).unionByName(across.select(*columns)), "lo", "hi"), apart)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -263,10 +322,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     schema = T.StructType([T.StructField("doc_id", long_), T.StructField("n_shingles", long_), T.StructField("h1", long_), T.StructField("h2", long_), T.StructField("keys", T.ArrayType(long_)), T.StructField("sketch", T.BinaryType())])
     seen = Table(docs.mapInArrow(_sketches, schema), "sketches").df
     full = seen.where("h1 is not null and doc_id is not null")
-    twins = full.groupBy(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    twins = full.groupBy(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     twins = Table(twins, "twins").df
-    twin = (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))
-    classes = full.join(twins, twin, "left").where("first is null or first = doc_id").select(F.col("doc_id").alias("rep"), "keys", "sketch")
+    twin = [("h1", "__h1"), ("h2", "__h2")]
+    classes = join_popular(full, twins, twin, "n", nulls=False).where("first is null or first = doc_id").select(F.col("doc_id").alias("rep"), "keys", "sketch")
     classes = Table(classes, "classes").df
 
     keyed = classes.select("rep", F.explode("keys").alias("key"))
@@ -274,28 +333,39 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(spot).alias("x"), F.sum(spot.cast("decimal(20,0)")).alias("s")).where("n > 1")
     shared = shared.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n")  # buckets with the same members count once
     shared = Table(shared, "buckets").df
-    rows = keyed.join(shared, "key").join(classes.select("rep", "sketch"), "rep")
-    rows = Table(rows.select("key", "n", "rep", "sketch"), "bucket-rows").df
-
-    start = rows.withColumn("component", F.col("rep")).withColumn("size", F.lit(0).cast("long")).withColumn("fine", F.lit(b"\0" * 8))
-    first = Table(_meet(start, False), "pairs").df
+    # large buckets are known before the join, so that their rows go to it in blocks
+    large = when_small(shared.where(F.col("n") > BLOCK).select(F.col("key").alias("__k"), F.col("n").alias("many")))
+    keyed = keyed.join(large, F.col("key") == F.col("__k"), "left").withColumn("many", F.coalesce("many", F.lit(1))).drop("__k")
+    keyed = _dealt(keyed, "many").drop("parts", "many")
+    shared = shared.withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    shared = shared.select("key", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"))
+    rows = keyed.join(shared, ["key", "own"]).join(classes.select("rep", "sketch"), "rep")
+    rows = Table(rows.select("key", "parts", "own", "rep", "sketch"), "bucket-rows")
+
+    start = rows.df.withColumn("component", F.col("rep")).withColumn("size", F.lit(0).cast("long")).withColumn("fine", F.lit(b"\0" * 8))
+    first = Table(_meet_heads(start), "pairs").df
     ends = first.select(F.col("u").alias("doc_id")).unionByName(first.select(F.col("v").alias("doc_id"))).distinct()
     texts = docs.join(ends.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = Table(texts.mapInArrow(_sets, "doc_id long, own binary, fine binary, size long"), "sets")
     links = Table(_confirmed(first, sets.df), "links").df
     comps = Table(components(links, "u", "v"), "components").df
-    apart_rows = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = apart_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    apart_rows = apart_rows.join(mixed, "key", "left_semi").join(sets.df.select(F.col("doc_id").alias("rep"), "size", "fine"), "rep")
-    second = _meet(apart_rows.select("key", "n", "rep", "component", "size", "sketch", "fine"), True).join(first, ["u", "v"], "left_anti")
+    fines = sets.df.select(F.col("doc_id").alias("rep"), "size", "fine")
+    apart_rows = rows.df.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart_rows = Table(apart_rows, "apart-rows")
+    second = _meet_apart(apart_rows.df, fines).join(first, ["u", "v"], "left_anti")
     more = Table(_confirmed(second, sets.df), "more-links").df
-    sets.drop()
+    for done in (sets, rows, apart_rows):
+        done.drop()
     if not more.isEmpty():
-        comps = components(links.unionByName(more), "u", "v")
-    members = seen.select("doc_id", "n_shingles", "h1", "h2").join(twins, twin & F.col("doc_id").isNotNull(), "left")
-    members = members.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("rep"))
-    out = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        comps = Table(components(links.unionByName(more), "u", "v"), "components").df
+    # copies get their component with their class, so a text with many of them is no join key
+    ends = comps.select(F.col("node").alias("__node"), "component")
+    facts = Table(twins.join(ends, F.col("first") == F.col("__node"), "left").select("__h1", "__h2", "n", F.coalesce("component", "first").alias("class")), "facts").df
+    members = seen.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("h1")).alias("h1"), "h2")
+    members = join_popular(members, facts, twin, "n").select("doc_id", "n_shingles", "class")
+    alone = members.where("class is null").join(ends, F.col("doc_id") == F.col("__node"), "left")
+    out = members.where("class is not null").unionByName(alone.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("class")))
+    out = out.select(F.col("doc_id").alias(key), "n_shingles", F.col("class").alias("component_id"))
     return out.withColumn("kept", same(F.col(key), F.col("component_id")))
 
 
