@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ranking
 from ..sources.store import BROADCAST_ROWS, Table, few, new_path, remove, when_small, written
 
-__all__ = ["BROADCAST_ROWS", "Table", "components", "few", "new_path", "rank_within", "remove", "same", "when_small", "written"]
+__all__ = ["BROADCAST_ROWS", "Table", "components", "join_popular", "few", "new_path", "rank_within", "remove", "same", "when_small", "written"]
 
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+`` (fixed values).
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -30,6 +30,34 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], rank: str) ->
     return rows.select(*df.columns, (F.col("__rank") - 1).alias(rank))
 
 
+#: A key with more rows than this is popular: its rows meet their partner by a broadcast, where they are.
+POPULAR = 10_000
+
+
+def join_popular(rows: DataFrame, facts: DataFrame, keys: list[tuple[str, str]], copies: str, nulls: bool = True) -> DataFrame:
+    """``rows`` left join ``facts`` on the (row, fact) columns of ``keys``; no key that has many rows meets in one task.
+
+    ``facts``, a written table, has one row for a key and in ``copies`` how many
+    of ``rows`` have that key, so popular ones are few. A null key has no
+    partner; without ``nulls`` there is none.
+    """
+    on = [F.col(a) == F.col(b) for a, b in keys]
+    known = F.lit(True)
+    for a, _ in keys:
+        known = known & F.col(a).isNotNull()
+    met = rows.where(known) if nulls else rows
+    heavy = facts.where(F.col(copies) > POPULAR)
+    if heavy.isEmpty():
+        out = met.join(facts, on, "left")
+    else:
+        heavy = when_small(heavy)
+        seldom = met.join(heavy.select(*[b for _, b in keys]), on, "left_anti").join(facts.where(F.col(copies) <= POPULAR), on, "left")
+        out = met.join(heavy, on).unionByName(seldom)
+    if not nulls:
+        return out
+    return out.unionByName(rows.where(~known).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema.fields]))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of undirected edges: (node, component), component the smallest node reachable.
 

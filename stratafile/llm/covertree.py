@@ -2,18 +2,23 @@
 
 Vectors become unit vectors, so cosine >= c is a distance <= sqrt(2 - 2c).
 Equal vectors of a label are one weighted point. The points of a label are
-dealt into blocks around pivots (a crowded block is split by a hash, so no
-block grows with the data); pairs of blocks whose covering balls are too far
-apart are pruned. For each pair of blocks left one task builds a cover tree of
-either block - nested levels, radii halving from level to level - and descends
+dealt into cells around pivots, at most ``PIVOT_BYTES`` of them in all (cells
+are larger where the table is), and a crowded cell into blocks by a hash. A
+point can only link into a cell whose pivot is no further from it than its own
+cell's pivot and twice the reach, and no further than the cell's radius and
+the reach: it goes to those cells alone, before anything is copied. For each
+pair of blocks that have points to compare one task builds a cover tree of
+either side - nested levels, radii halving from level to level - and descends
 both at once: a pair of nodes further apart than their covering radii allow
 goes, everything else ends at pairs of points that are compared in double
 precision. A task returns counts of links and a spanning forest of them, never
 the pairs, so a group of copies costs a row for each copy.
 
 Null, zero and non-finite vectors and vectors without a label link with
-nothing. Rows that repeat a vec_id are separate vectors for the counts and one
-node for the components; rows with a null vec_id link with nothing.
+nothing. Labels are compared as they are, by their text. Rows that repeat a
+vec_id are separate vectors for the counts and one node for the components;
+rows with a null vec_id link with nothing. Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
@@ -26,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Table, components, same
+from ._shared import Table, components, few, join_popular, same
 
+#: Points of a block.
 BLOCK = 4096
+#: All pivots together take at most so much: they are known to every task.
+PIVOT_BYTES = 16 << 20
 LEAF_RADIUS = 0.05
 SLACK = 1e-6
 TILE = 1024
@@ -223,64 +231,106 @@ def link_blocks(x: np.ndarray, weights: np.ndarray, cosine: float, y: np.ndarray
     return links.count, links.roots()
 
 
+def settle(units: list[bytes], pivots: dict[int, np.ndarray], reach: float) -> list[tuple[int, float, list[int], list[float]]]:
+    """For each unit vector of a label its cell, the distance to that cell's pivot, and the cells it may link into with theirs.
+
+    ``pivots``: for each length of vectors the pivots of that length, all others far away.
+    """
+    out: list = [None] * len(units)
+    by_width: dict[int, list[int]] = {}
+    for i, u in enumerate(units):
+        by_width.setdefault(len(u) // 8, []).append(i)
+    for width, own in by_width.items():
+        if width not in pivots:  # no pivot has this length: a cell of its own
+            for i in own:
+                out[i] = (-width, 0.0, [-width], [0.0])
+            continue
+        names, points = pivots[width]
+        for at in range(0, len(own), TILE):
+            part = own[at : at + TILE]
+            gap = distances(np.array([np.frombuffer(units[i]) for i in part]), points)
+            for i, row in zip(part, gap, strict=True):
+                home = int(row.argmin())
+                near = np.nonzero(row <= row[home] + 2 * reach)[0]
+                out[i] = (int(names[home]), float(row[home]), names[near].tolist(), row[near].tolist())
+    return out
+
+
+def choose_pivots(points: DataFrame, block: int) -> dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Pivots of the labels with more points than a block: of each bucket of hashes the point with the lowest one."""
+    sizes = Table(points.groupBy("label").agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("bytes")), "labels").df
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("bytes"), F.lit(8)).alias("b")).first()
+    step = max(block, -(-total["n"] * total["b"] // PIVOT_BYTES))
+    many = sizes.where(F.col("n") > step).select("label", F.ceil(F.col("n") / F.lit(step)).cast("long").alias("buckets"))
+    spread = points.join(F.broadcast(many), "label").withColumn("bucket", F.pmod(F.xxhash64("rep"), F.col("buckets")))
+    chosen = spread.groupBy("label", "bucket").agg(F.min(F.struct(F.xxhash64(F.lit(1), "rep"), "unit"))["unit"].alias("pivot"))
+    found: dict = {}
+    for r in chosen.orderBy("label", "bucket").collect():  # at most 2 * PIVOT_BYTES
+        found.setdefault(r["label"], {}).setdefault(len(r["pivot"]) // 8, []).append((r["bucket"], np.frombuffer(bytes(r["pivot"]))))
+    return {label: {w: (np.array([k for k, _ in own]), np.array([p for _, p in own])) for w, own in by_width.items()} for label, by_width in found.items()}
+
+
 def near_duplicates(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of ``df``."""
-    spark = df.sparkSession
-    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("label", T.LongType()), T.StructField("unit", T.BinaryType())])
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("unit", T.BinaryType())])
+    reach = math.sqrt(2 - 2 * cosine) + SLACK
 
     def prepare(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unit_rows(batch.column(2)), pa.binary())], names=["vec_id", "label", "unit"])
 
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("embedding"))
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("embedding"))
     units = Table(rows.mapInArrow(prepare, schema), "units").df
-    units = units.withColumn("twin", F.when(F.col("unit").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.sha2(F.concat(F.col("unit"), F.encode(F.col("label").cast("string"), "UTF-8")), 256)))
+    units = units.withColumn("twin", F.when(F.col("unit").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.sha2(F.concat(F.col("unit"), F.encode(F.col("label"), "UTF-8")), 256)))
     points = units.where("twin is not null").groupBy("twin").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("unit").alias("unit"))
     points = Table(points, "points").df
+    pivots = choose_pivots(points, block)
 
-    # pivots: of each of a label's buckets of hashes the point with the lowest hash; each point goes to the nearest
-    sizes = points.groupBy("label").agg(F.count("*").alias("n"))
-    spread = points.join(sizes, "label").withColumn("bucket", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.lit(block))))
-    pivots = spread.groupBy("label", "bucket").agg(F.min(F.struct(F.xxhash64(F.lit(1), "rep"), "unit"))["unit"].alias("pivot"))
-    pivots = pivots.groupBy("label").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
-    near_schema = T.StructType([*points.schema.fields, T.StructField("home", T.LongType())])
-    n_cols = points.columns
+    n_cols = ["rep", "copies", "label", "unit"]
+    far = T.ArrayType(T.StructType([T.StructField("cell", T.LongType()), T.StructField("gap", T.DoubleType())]))
+    settled = T.StructType([*[points.schema[c] for c in n_cols], T.StructField("home", T.LongType()), T.StructField("gap", T.DoubleType()), T.StructField("near", far)])
 
-    def settle(batches):
-        tables: dict[int, np.ndarray] = {}
+    def deal(batches):
         for batch in batches:
-            home = []
-            for lab, unit, listed in zip(batch.column("label").to_pylist(), batch.column("unit").to_pylist(), batch.column("pivots"), strict=True):
-                if lab not in tables:
-                    tables[lab] = [np.frombuffer(p) for p in listed.as_py()]
-                x = np.frombuffer(unit)
-                home.append(int(np.argmax([p @ x if len(p) == len(x) else -2.0 for p in tables[lab]])))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in n_cols], pa.array(home, pa.int64())], names=[*n_cols, "home"])
-
-    homed = points.join(pivots, "label").select(*n_cols, "pivots").mapInArrow(settle, near_schema)
-    homed = Table(homed, "homed").df
-    crowd = homed.groupBy("label", "home").agg(F.count("*").alias("m"))
-    dealt = homed.join(crowd, ["label", "home"]).withColumn("part", F.pmod(F.xxhash64(F.lit(2), "rep"), F.ceil(F.col("m") / F.lit(block)))).drop("m")
-    dealt = Table(dealt.select("rep", "copies", "label", "unit", F.concat_ws(" ", "home", "part").alias("block")), "blocks").df
-    blocks = dealt.groupBy("label").agg(F.array_sort(F.collect_set("block")).alias("blocks"))  # a name for each ``block`` points
-    here = F.array_position("blocks", F.col("block"))
-    many = F.size("blocks")
-    sent = dealt.join(blocks, "label").select("rep", "copies", "label", "unit", here.alias("own"), F.explode(F.sequence(F.lit(1), many)).alias("other"))
-    sent = sent.select("rep", "copies", "unit", "label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+            labels, found = batch.column(2).to_pylist(), [None] * batch.num_rows
+            units_ = batch.column(3).to_pylist()
+            own: dict = {}
+            for i, x in enumerate(labels):
+                own.setdefault(x, []).append(i)
+            for x, at in own.items():
+                told = settle([units_[i] for i in at], pivots[x], reach) if x in pivots else [(0, 0.0, [0], [0.0])] * len(at)
+                for i, t in zip(at, told, strict=True):
+                    found[i] = t
+            near = [[{"cell": c, "gap": g} for c, g in zip(f[2], f[3], strict=True)] for f in found]
+            arrays = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64()), pa.array(near, pa.list_(pa.struct([("cell", pa.int64()), ("gap", pa.float64())])))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=settled.names)
+
+    homed = Table(points.select(*n_cols).mapInArrow(deal, settled), "homed").df
+    cells = homed.groupBy("label", "home").agg(F.count("*").alias("m"), F.max("gap").alias("radius"))
+    cells = Table(cells.withColumn("parts", F.ceil(F.col("m") / F.lit(block)).cast("long")).drop("m"), "cells").df
+    mine = cells.select(F.col("label").alias("__l"), F.col("home").alias("__h"), F.col("parts").alias("__p"))
+    meets = lambda t: F.broadcast(t) if few(t) else t
+    dealt = homed.join(meets(mine), (F.col("label") == F.col("__l")) & (F.col("home") == F.col("__h")))
+    dealt = dealt.withColumn("own", F.struct("home", F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("__p")).alias("part")))
+    sent = dealt.select("rep", "copies", "label", "unit", "own", F.explode("near").alias("to"))
+    theirs = cells.select(F.col("label").alias("__l"), F.col("home").alias("__h"), "radius", "parts")
+    sent = sent.join(meets(theirs), (F.col("label") == F.col("__l")) & (F.col("to.cell") == F.col("__h"))).where(F.col("to.gap") <= F.col("radius") + reach)
+    sent = sent.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.col("__h").alias("home"), k.alias("part")))))
+    sent = sent.select("rep", "copies", "unit", "label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).cast("int").alias("own"))
 
     def compare(group: pa.Table) -> pa.Table:
-        a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+        itself = group.column("a")[0].as_py() == group.column("b")[0].as_py()
         own = group.column("own").to_numpy()
         rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
         unit = [np.frombuffer(u) for u in group.column("unit").to_pylist()]
         count, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
         for width in {len(u) for u in unit}:  # vectors of different lengths never link
             fits = np.array([len(u) == width for u in unit])
-            p = np.nonzero(fits & (own == a))[0]
+            p = np.nonzero(fits & (own == 1))[0]
             p = p[np.argsort(rep[p])]
-            q = p[:0] if a == b else np.nonzero(fits & (own == b))[0]
+            q = p[:0] if itself else np.nonzero(fits & (own == 0))[0]
             both = np.concatenate([p, q])
-            if a == b:
+            if itself:
                 c, r = link_blocks(np.array([unit[i] for i in p]), copies[p], cosine)
             elif len(p) and len(q):
                 c, r = link_blocks(np.array([unit[i] for i in p]), copies[p], cosine, np.array([unit[i] for i in q]), copies[q])
@@ -295,7 +345,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", ve
     counts = found.groupBy(F.col("rep").alias("__rep")).agg(F.sum("links").alias("__links"))
     comps = components(found, "rep", "root").withColumnRenamed("node", "__node")
     ends = points.join(counts, F.col("rep") == F.col("__rep"), "left").join(comps, F.col("rep") == F.col("__node"), "left")
-    ends = ends.select(F.col("twin").alias("__twin"), "rep", (F.coalesce("__links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = units.select("vec_id", "twin").join(ends, same(F.col("twin"), F.col("__twin")), "left")
+    ends = ends.select(F.col("twin").alias("__twin"), "copies", (F.coalesce("__links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = join_popular(units.select("vec_id", "twin"), Table(ends, "ends").df, [("twin", "__twin")], "copies")
     out = out.select(F.col("vec_id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", same(F.col(key), F.col("component_id")))
