@@ -148,16 +148,20 @@ def place(tree: Tree, key: Column) -> Column:
     # a row goes down again until a shard keeps it; the last turn draws among all shards with the weights they have now
     out = lowest([(draw(key, f"last shard {s}", w), F.lit(s)) for s, w in tree.weights().items() if w > 0])
     for turn in reversed(range(TURNS)):
-        out = F.coalesce(F.get(F.transform(F.array(descend(tree, key, turn)), lambda x, turn=turn: _kept(tree, key, turn, x)), F.lit(0)), out)
+        out = F.coalesce(_kept(tree, key, turn), out)
     return out.cast("int")
 
 
-def _kept(tree: Tree, key: Column, turn: int, shard: Column) -> Column:
-    """``shard`` if it keeps the key, else null."""
-    share = F.lit(1.0)
-    for s, w in tree.kept:
-        share = F.when(shard == s, F.lit(w)).otherwise(share)
-    return F.when(unit(key, f"keep {turn}") < share, shard)
+def _kept(tree: Tree, key: Column, turn: int) -> Column:
+    """The shard that the key comes down to if it keeps the key, else null."""
+
+    def keeps(shard: Column) -> Column:
+        share = F.lit(1.0)
+        for s, w in tree.kept:
+            share = F.when(shard == s, F.lit(w)).otherwise(share)
+        return F.when(unit(key, f"keep {turn}") < share, shard)
+
+    return F.get(F.transform(F.array(descend(tree, key, turn)), keeps), F.lit(0))
 
 
 def shard(df: DataFrame, tree: Tree | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

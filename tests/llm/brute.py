@@ -111,3 +111,80 @@ def personal(text):
             if good:
                 out.append((m.start(), k, kind, m.end()))
     return [(a, kind, b) for a, _, kind, b in sorted(out)]
+
+
+def unit(name, key):
+    h = xxhash.xxh64_intdigest(name.encode(), 42)
+    if key is not None:
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), h)
+    return ((h >> 11) + 0.5) / 2.0**53
+
+
+def placed(regions, key):
+    """The shard of a key in a tree without grants: the lowest draw at each level."""
+    draw = lambda name, w: -math.log(unit(name, key)) / w
+    weigh = lambda rack: sum(w for _, w in rack)
+    i = min(range(len(regions)), key=lambda i: draw(f"region {i}", sum(map(weigh, regions[i]))))
+    j = min(range(len(regions[i])), key=lambda j: draw(f"rack {i} {j}", weigh(regions[i][j])))
+    return min(regions[i][j], key=lambda s: draw(f"shard {s[0]}", s[1]))[0]
+
+
+def best_fit_bins(lengths, capacity):
+    """How many bins best-fit decreasing opens, piece by piece."""
+    import bisect
+
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else capacity) - n)
+    return len(rooms)
+
+
+def context_spans(docs, rounds, confident, least, identifier, hex_key):
+    """{id: [(start, kind, end)]} of base and bootstrapped spans."""
+    plain = lambda w: "#" if re.search("[0-9@]", w) else w.lower()
+    tokens, places, base = {}, {}, {}
+    for d, text in docs.items():
+        text = text or ""
+        base[d] = personal(text)
+        led = ["^", "^", *WORD.findall(text)]
+        for p in zip(map(plain, led), map(plain, led[1:]), strict=False):
+            places[p] = places.get(p, 0) + 1
+        tokens[d] = []
+        for k, m in enumerate(WORD.finditer(text)):
+            if not re.search("[0-9@]", m[0]) or any(a < m.start() < b for a, _, b in base[d]):
+                continue
+            lead = len(re.match("[^A-Za-z0-9+]*", m[0])[0])
+            core = re.sub("[^A-Za-z0-9]+$", "", m[0][lead:])
+            wide = [(a, b) for a, _, b in base[d] if m.start() <= a < m.end() < b]
+            start, end = wide[0] if wide else (m.start() + lead, m.start() + lead + len(core))
+            if wide or re.search(identifier, core):
+                seed = bool(re.search(hex_key, core)) or any(a < end and start < b for a, _, b in base[d])
+                tokens[d].append(((plain(led[k]), plain(led[k + 1])), text[start:end], start, end, seed))
+    edges = {}
+    for own in tokens.values():
+        for pattern, instance, _, _, seed in own:
+            n, s = edges.get((pattern, instance), (0, False))
+            edges[pattern, instance] = n + 1, s or seed
+    trust, good = {}, {}
+    of = {}
+    for (p, i), (n, seed) in edges.items():
+        of.setdefault(p, []).append((i, n, seed))
+    for _ in range(rounds):
+        good = {}
+        for p, own in of.items():
+            each = [(n, 1.0 if seed else trust.get(i, 0.0)) for i, n, seed in own]
+            share = sum(n * t for n, t in each) / max(places[p], sum(n for n, _ in each))
+            if sum(t >= confident for _, t in each) >= least and share >= confident:
+                good[p] = share
+        doubt = {}
+        for (p, i), _ in edges.items():
+            if p in good:
+                doubt[i] = doubt.get(i, 0.0) + math.log(max(1 - good[p], 1e-9))
+        trust = {i: 1 - math.exp(x) for i, x in doubt.items()}
+    out = {}
+    for d, own in tokens.items():
+        added = {(a, "context", b) for p, _, a, b, _ in own if p in good and not any(x < b and a < y for x, _, y in base[d])}
+        order = ("email", "ip", "card", "phone", "context")
+        out[d] = sorted([*base[d], *added], key=lambda s: (s[0], order.index(s[1]), s[2]))
+    return out
