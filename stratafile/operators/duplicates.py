@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def eligible(state: DataFrame) -> DataFrame:
     """Present locations whose digest describes what is there now."""
@@ -32,8 +34,9 @@ def member_rank(state: DataFrame) -> DataFrame:
     """Locations of every current duplicate set, ranked by presentation order."""
     rows = eligible(state)
     wanted = current_sets(state).select("sha256")
-    order = Window.partitionBy("sha256").orderBy("root_ordinal", "path_sort_key", "file_id")
-    return rows.join(wanted, "sha256", "left_semi").select("sha256", "file_id", "root_id", "relative_path", F.row_number().over(order).alias("member_rank"))
+    order = [F.col(c) for c in ("root_ordinal", "path_sort_key", "file_id")]
+    rows = rows.join(wanted, "sha256", "left_semi").select("sha256", "file_id", "root_id", "relative_path", "root_ordinal", "path_sort_key")
+    return ranked(rows, "member_rank", ["sha256"], order).drop("root_ordinal", "path_sort_key")
 
 
 def historical_sets(measured: DataFrame) -> DataFrame:

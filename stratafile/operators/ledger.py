@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Worst first (fixed values).
-RUN_ORDER = ("interrupted", "paused", "failed", "completed_with_warnings", "completed")
+from .ranking import ranked
+
+#: Outcomes of roots, best first; what isn't listed is worse than all (fixed values).
+ROOT_ORDER = ("completed", "completed_with_warnings", "skipped", "failed")
+#: Seconds after which a heartbeat no longer proves that a run is alive (fixed value).
 STALE_SECONDS = 180
+#: Stages that don't fail a run (fixed values).
+NON_FATAL_STAGES = ("inventory_ingest",)
 
 
 def severity(event_type: Column) -> Column:
@@ -19,10 +24,24 @@ def stage_status(exit_code: Column, has_output: Column, warnings: Column) -> Col
     return F.when(exit_code == 2, "paused").when(exit_code != 0, "failed").when(~has_output, "no_applicable_files").when(warnings > 0, "completed_with_warnings").otherwise("completed")
 
 
-def worst(status: Column, order: tuple[str, ...] = RUN_ORDER) -> Column:
-    """Aggregate: the worst status of a group."""
+def worst(status: Column, order: tuple[str, ...] = ROOT_ORDER) -> Column:
+    """Aggregate: the worst status that occurs in a group, null if none does."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for i, k in enumerate(order) for x in (k, i)])[status], F.lit(len(order)))
-    return F.min_by(status, rank)
+    return F.max(F.when(status.isNotNull(), F.struct(rank.alias("rank"), status.alias("status"))))["status"]
+
+
+def run_status(status: Column, stage: Column, non_fatal: tuple[str, ...] = NON_FATAL_STAGES, tolerant: bool = False) -> Column:
+    """Aggregate: the status of a run from those of its stages.
+
+    A stage that was interrupted or paused says so for the run. A failure of a
+    non-fatal stage, or any failure of a ``tolerant`` run, is a warning; the
+    stage's own row keeps it. A run without stages is completed.
+    """
+    has = lambda what: F.coalesce(F.bool_or(what), F.lit(False))
+    failed = status == "failed"
+    fatal = F.lit(False) if tolerant else has(failed & ~stage.isin(*non_fatal))
+    warned = has(failed | (status == "completed_with_warnings"))
+    return F.when(has(status == "interrupted"), "interrupted").when(has(status == "paused"), "paused").when(fatal, "failed").when(warned, "completed_with_warnings").otherwise("completed")
 
 
 def closed(events: DataFrame, *by: str) -> DataFrame:
@@ -31,15 +50,19 @@ def closed(events: DataFrame, *by: str) -> DataFrame:
 
 
 def numbered(events: DataFrame, last: DataFrame) -> DataFrame:
-    """Adds ``seq``, going on without gaps from each run's last number."""
-    order = Window.partitionBy("run_id").orderBy("event_time", "event_id")
-    return events.join(last, "run_id", "left").withColumn("seq", F.coalesce("last_seq", F.lit(0)) + F.row_number().over(order)).drop("last_seq")
+    """Adds ``seq``, going on without gaps from each run's last number; a run of any size is numbered over several tasks."""
+    rows = ranked(events, "__place", ["run_id"], [F.col("event_time"), F.col("event_id")])
+    return rows.join(last, "run_id", "left").withColumn("seq", F.coalesce("last_seq", F.lit(0)) + F.col("__place")).drop("last_seq", "__place")
 
 
 def stale_runs(runs: DataFrame, now: Column, seconds: int = STALE_SECONDS) -> DataFrame:
-    """Open runs whose process is known dead, or silent for too long; an unknown process counts as alive while it is heard."""
-    age = F.unix_seconds(now) - F.unix_seconds("heartbeat")
-    why = F.when(F.col("alive") == F.lit(False), "process_gone").when(age > seconds, "heartbeat_expired")
+    """Open runs whose process is known dead, silent for too long or never heard; an unknown process counts as alive while it is heard.
+
+    Before its first heartbeat a run was heard when it ``started``, if ``runs`` has that.
+    """
+    heard = F.coalesce("heartbeat", "started") if "started" in runs.columns else F.col("heartbeat")
+    age = F.unix_seconds(now) - F.unix_seconds(heard)
+    why = F.when(F.col("alive") == F.lit(False), "process_gone").when(age.isNull() | (age > seconds), "heartbeat_expired")
     return runs.where("ended is null").withColumn("reason", why).where("reason is not null")
 
 
@@ -51,6 +74,5 @@ def coverage(marks: DataFrame) -> DataFrame:
 
 def capped(rows: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:
     """The first ``cap`` rows of each group, with how many there were and whether some are left out."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("seen", F.count("*").over(w))
-    return ranked.where(F.col("place") <= cap).withColumn("truncated", F.col("seen") > cap)
+    placed = ranked(rows, "place", by, order, size="seen")
+    return placed.where(F.col("place") <= cap).withColumn("truncated", F.col("seen") > cap)

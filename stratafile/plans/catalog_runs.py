@@ -55,30 +55,42 @@ def l2(spark, sf_dir):
     return stages(spark, sf_dir).select("run_id", "stage_key", "exit_code", "status")
 
 
-RANK = "CASE status WHEN 'interrupted' THEN 0 WHEN 'paused' THEN 1 WHEN 'failed' THEN 2 WHEN 'completed_with_warnings' THEN 3 WHEN 'completed' THEN 4 ELSE 5 END"
+RUN_STATUS = "CASE WHEN bool_or(status = 'interrupted') THEN 'interrupted' WHEN bool_or(status = 'paused') THEN 'paused' WHEN bool_or(status = 'failed' AND stage_key <> 'view') THEN 'failed' WHEN bool_or(status IN ('failed', 'completed_with_warnings')) THEN 'completed_with_warnings' ELSE 'completed' END"
 
 
-@query("a28_run_status", f"SELECT run_id, arg_min(status, {RANK}) AS status, count(*) AS stages FROM (SELECT run_id, {STATUS} AS status FROM {STAGES}) GROUP BY run_id")
+@query("a28_run_status", f"SELECT run_id, {RUN_STATUS} AS status, count(*) AS stages FROM (SELECT run_id, stage_key, {STATUS} AS status FROM {STAGES}) GROUP BY run_id")
 def a28(spark, sf_dir):
-    return stages(spark, sf_dir).groupBy("run_id").agg(ledger.worst(F.col("status")).alias("status"), F.count("*").alias("stages"))
+    """Stages are event types; ``view`` is a stage that doesn't fail its run."""
+    return stages(spark, sf_dir).groupBy("run_id").agg(run_status().alias("status"), F.count("*").alias("stages"))
 
 
-@query("a29_multi_root_status", f"SELECT run_id % 4 AS root_id, arg_min(status, {RANK}) AS status FROM (SELECT run_id, {STATUS} AS status FROM {STAGES}) WHERE status <> 'no_applicable_files' GROUP BY 1")
+def run_status():
+    return ledger.run_status(F.col("status"), F.col("stage_key"), ("view",))
+
+
+@query(
+    "a29_multi_root_status",
+    f"""SELECT run_id, arg_max(status, CASE status WHEN 'completed' THEN 0 WHEN 'completed_with_warnings' THEN 1 WHEN 'skipped' THEN 2 WHEN 'failed' THEN 3 ELSE 4 END) AS status FROM (
+      SELECT run_id, CASE WHEN status = 'no_applicable_files' THEN 'skipped' WHEN status <> 'paused' THEN status END AS status FROM (SELECT run_id, {STATUS} AS status FROM {STAGES})) GROUP BY run_id""",
+)
 def a29(spark, sf_dir):
-    return stages(spark, sf_dir).where("status <> 'no_applicable_files'").groupBy((F.col("run_id") % 4).alias("root_id")).agg(ledger.worst(F.col("status")).alias("status"))
+    """Each stage of a run stands for one of its roots; a paused one has no outcome yet."""
+    s = F.col("status")
+    rows = stages(spark, sf_dir).withColumn("status", F.when(s == "no_applicable_files", "skipped").when(s != "paused", s))
+    return rows.groupBy("run_id").agg(ledger.worst(s).alias("status"))
 
 
 @query(
     "i5s_stale_runs",
     f"""SELECT run_id, CASE WHEN run_id % 5 = 0 THEN 'process_gone' ELSE 'heartbeat_expired' END AS reason FROM (
-      SELECT run_id, max(ts) AS beat FROM {EVENTS} GROUP BY run_id) WHERE run_id % 7 <> 0 AND (run_id % 5 = 0 OR epoch((SELECT max(ts) FROM events)) - epoch(beat) > 180)""",
+      SELECT run_id, CASE WHEN run_id % 11 <> 0 THEN max(ts) END AS beat FROM {EVENTS} GROUP BY run_id) WHERE run_id % 7 <> 0 AND (run_id % 5 = 0 OR beat IS NULL OR epoch((SELECT max(ts) FROM events)) - epoch(beat) > 180)""",
 )
 def i5s(spark, sf_dir):
-    """Heartbeats are events; every fifth run's process is known dead, of every second other one nothing is known."""
+    """Heartbeats are events; every fifth run's process is known dead, of every second other one nothing is known, every eleventh was never heard."""
     e = events(spark, sf_dir)
     k = F.col("run_id")
     runs = e.groupBy("run_id").agg(F.max("event_time").alias("heartbeat"))
-    runs = runs.select("run_id", "heartbeat", F.when(k % 5 == 0, False).when(k % 2 == 0, True).alias("alive"), F.when(k % 7 == 0, F.col("heartbeat")).alias("ended"))
+    runs = runs.select("run_id", F.when(k % 11 != 0, F.col("heartbeat")).alias("heartbeat"), F.when(k % 5 == 0, False).when(k % 2 == 0, True).alias("alive"), F.when(k % 7 == 0, F.col("heartbeat")).alias("ended"))
     now = e.agg(F.max("event_time").alias("now")).withColumn("one", F.lit(1))
     return ledger.stale_runs(runs.withColumn("one", F.lit(1)).join(F.broadcast(now), "one"), F.col("now")).select("run_id", "reason")
 
@@ -114,12 +126,26 @@ def s8(spark, sf_dir):
     return logs.mark_bad(rows).select("event_id", "severity", "category")
 
 
-@query("s9_error_lines", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'FILE ERROR' ELSE '' END AS kind, CASE WHEN event_type = 'error' THEN 'C:\\x\\' || event_id ELSE '' END AS path, CASE WHEN event_type = 'error' THEN 'denied -- twice' ELSE '' END AS message FROM events".replace("\\\\", "\\"))
+@query(
+    "s9_error_lines",
+    r"""SELECT run_id, line_no, severity, error_type, file_path, message, file_skipped FROM (
+      SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS line_no, 'warning' AS severity,
+        CASE WHEN event_type = 'error' THEN 'FILE ERROR' WHEN event_type = 'signup' THEN 'DIRECTORY ACCESS ERROR' END AS error_type,
+        CASE WHEN event_type IN ('error', 'signup') THEN 'C:\x\' || event_id END AS file_path,
+        CASE event_type WHEN 'error' THEN 'denied -- twice' WHEN 'signup' THEN 'no list' WHEN 'click' THEN 'OTHER ERROR: a -- b' ELSE 'all is well' END AS message,
+        CASE WHEN event_type IN ('error', 'signup') THEN true END AS file_skipped FROM ERRORS) WHERE line_no <= 4
+    UNION ALL SELECT run_id, 5, 'info', NULL, NULL, 'Only the first 4 entries were recorded as events; the full list remains in the file.', NULL FROM ERRORS GROUP BY run_id HAVING count(*) >= 4""".replace("ERRORS", EVENTS).replace("\\\\", "\\"),
+)
 def s9(spark, sf_dir):
+    """Each run's events as the lines of its error file."""
     e = events(spark, sf_dir)
-    line = F.when(F.col("event_type") == "error", F.concat(F.lit("FILE ERROR: C:\\x\\"), "event_id", F.lit(" -- denied -- twice"))).otherwise("all is well")
-    kind, path, message = logs.error_fields(line)
-    return e.select("event_id", kind.alias("kind"), path.alias("path"), message.alias("message"))
+    kind = F.col("event_type")
+    line = (
+        F.when(kind == "error", F.concat(F.lit("FILE ERROR: C:\\x\\"), "event_id", F.lit(" -- denied -- twice"))).when(kind == "signup", F.concat(F.lit(" DIRECTORY ACCESS ERROR:  C:\\x\\"), "event_id", F.lit("  -- no list")))
+        .when(kind == "click", "OTHER ERROR: a -- b").otherwise("all is well")
+    )
+    found = logs.error_events(e.select("run_id", "event_id", line.alias("line")), ["run_id"], [F.col("event_id")], 4)
+    return found.select("run_id", "line_no", "severity", "error_type", "file_path", "message", "file_skipped")
 
 
 @query(
@@ -129,7 +155,7 @@ def s9(spark, sf_dir):
 )
 def s10(spark, sf_dir):
     e = events(spark, sf_dir)
-    line = F.when(F.col("event_type") == "error", "  ERROR: disk").when(F.col("event_type") == "signup", "WARNING: slow").otherwise("ERRORS are fine")
+    line = F.when(F.col("event_type") == "error", "  Error: disk").when(F.col("event_type") == "signup", "warn slow").otherwise("ERRORS are fine")
     rows = e.select("run_id", "event_id", logs.console_severity(line).alias("severity")).where("severity is not null")
     return ledger.capped(rows, ["run_id"], [F.col("event_id")], 3).select("run_id", "event_id", "severity", "seen", "truncated")
 
@@ -139,9 +165,9 @@ def x3(spark, sf_dir):
     return events(spark, sf_dir).groupBy("run_id", (F.col("event_id") % 4).alias("root_id")).agg(F.min("event_id").alias("first_event"))
 
 
-@query("x5_newest_completed_run", f"SELECT root_id, max(run_id) AS run_id FROM (SELECT run_id, run_id % 4 AS root_id, arg_min(status, {RANK}) AS status FROM (SELECT run_id, {STATUS} AS status FROM {STAGES}) GROUP BY run_id) WHERE status IN ('completed', 'completed_with_warnings') GROUP BY root_id")
+@query("x5_newest_completed_run", f"SELECT root_id, max(run_id) AS run_id FROM (SELECT run_id, run_id % 4 AS root_id, {RUN_STATUS} AS status FROM (SELECT run_id, stage_key, {STATUS} AS status FROM {STAGES}) GROUP BY run_id) WHERE status IN ('completed', 'completed_with_warnings') GROUP BY root_id")
 def x5(spark, sf_dir):
-    runs = stages(spark, sf_dir).groupBy("run_id").agg(ledger.worst(F.col("status")).alias("status"))
+    runs = stages(spark, sf_dir).groupBy("run_id").agg(run_status().alias("status"))
     done = runs.where(F.col("status").isin("completed", "completed_with_warnings"))
     return done.groupBy((F.col("run_id") % 4).alias("root_id")).agg(F.max("run_id").alias("run_id"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hashing, state
 from ..sources import corpus
+from ..sources.store import once
 
 
 def _later(rows: DataFrame) -> DataFrame:
@@ -36,12 +37,29 @@ def nothing(spark: SparkSession) -> DataFrame:
 
 
 def after(spark: SparkSession, sf_dir: str, run: int) -> tuple[DataFrame, DataFrame]:
-    """(state, all observations) after the given run. Digests are taken in runs 1 and 3 only."""
-    now, log = nothing(spark), None
+    """(state, all observations) after the given run, as it stored them. Digests are taken in runs 1 and 3 only.
+
+    A run reads the state that the run before it stored, so no body is read
+    twice, and queries on state read no body at all.
+    """
+    log = None
     for k in range(1, run + 1):
-        rows = snapshot(spark, sf_dir, k)
-        now, seen = state.fold(now, records(rows), k, [1] if k == 3 else [1, 2])
-        if k != 2:
-            now = state.promote(now, digests(rows), k)
+        seen = once(spark, ("observations", sf_dir, k), lambda k=k: _folded(spark, sf_dir, k)[1])
         log = seen if log is None else log.unionByName(seen)
-    return now, log
+    return stored(spark, sf_dir, run), log
+
+
+def stored(spark: SparkSession, sf_dir: str, run: int) -> DataFrame:
+    """The state that a run stored."""
+    if run == 0:
+        return nothing(spark)
+
+    def build():
+        now = _folded(spark, sf_dir, run)[0]
+        return now if run == 2 else state.promote(now, digests(snapshot(spark, sf_dir, run)), run)
+
+    return once(spark, ("state", sf_dir, run), build)
+
+
+def _folded(spark: SparkSession, sf_dir: str, run: int) -> tuple[DataFrame, DataFrame]:
+    return state.fold(stored(spark, sf_dir, run - 1), records(snapshot(spark, sf_dir, run)), run, [1] if run == 3 else [1, 2])

@@ -78,6 +78,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
+_ONCE: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """The stored table of ``key``, written by the first call of the session: what a scan leaves behind and queries read."""
+    name = (spark.sparkContext.applicationId, *key)
+    if name not in _ONCE:
+        _ONCE[name] = written(build(), str(key[0]))
+    return _ONCE[name]
+
+
+def filesystem(uri: str):
+    """(file system, path) of a folder that all executors see."""
+    import pyarrow.fs
+
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = "file://" + uri[len("file:") :]
+    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+
+
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df``, best a written table, has at most so many rows."""
     return df.limit(rows + 1).count() <= rows
