@@ -19,25 +19,47 @@ def line_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\r\n|" + BREAKS)) + tail
 
 
+#: White space of every kind; white space that ends no line; a heading's marks after any indent (fixed values).
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+INSIDE = r"[\t\x1f\p{Zs}]"
+HEADING = rf"(?:\A|(?<={BREAKS})){INSIDE}*+#{{1,6}}{INSIDE}"
+
+
 def headings(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?m)^#{1,6}\s+"))
+    """Lines that begin, after any indent, with one to six marks and white space."""
+    return F.regexp_count(text, F.lit(HEADING))
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
+def front_title(text: Column) -> Column:
+    """The title that the front matter gives, '' without one."""
+    end = F.locate("\n---", text, 4)
+    matter = F.when(text.startswith("---") & (end > 0), F.substring(text, F.lit(4), end - 4)).otherwise("")
+    said = trimmed(F.regexp_extract(matter, rf"(?md)^title:{SPACE}*(.+)$", 1))
+    return F.regexp_replace(F.regexp_replace(said, r'\A"+|"+\z', ""), r"\A'+|'+\z", "")
 
 
 def first_title(text: Column) -> Column:
-    found = F.trim(F.regexp_extract(text, r"(?m)^#[ \t]+(.+)$", 1))
-    return F.when(found != "", found)
+    """The title of the front matter, else that of the first heading of level one, else null."""
+    heading = trimmed(F.regexp_extract(text, rf"(?md)^#{SPACE}+(.+)$", 1))
+    return F.coalesce(F.nullif(front_title(text), F.lit("")), F.nullif(heading, F.lit("")))
 
 
 def wiki_links(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\[\[[^\[\]]+\]\]"))
+    return F.regexp_count(text, F.lit(r"(?d)\[\[.*?\]\]"))
 
 
 def inline_tags(text: Column) -> Column:
-    return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\w#&/])#([A-Za-z][\w/-]*)"), F.lit(1))))
+    """All tags outside heading lines, repeated ones too; a tag is a mark with a letter after it."""
+    rest = F.regexp_replace(text, HEADING + "[^" + BREAKS[1:-1] + "]*", "")
+    return F.regexp_count(rest, F.lit("#[A-Za-z]"))
 
 
 def has_front_matter(text: Column) -> Column:
-    return text.rlike(r"\A---\r?\n(?s:.*?)\r?\n---(\r?\n|\z)")
+    return text.startswith("---")
 
 
 def words_or_null(text: Column) -> Column:

@@ -22,25 +22,35 @@ class Analyzer:
     excluded: tuple[str, ...] = ()
 
 
-def _s(words: str) -> tuple[str, ...]:
-    return tuple("." + w for w in words.split())
-
+#: Camera formats (fixed values).
+RAW_SUFFIXES = (
+    ".3fr", ".arw", ".cr2", ".cr3", ".dng", ".erf", ".iiq", ".kdc", ".mrw", ".nef", ".nrw",
+    ".orf", ".pef", ".raf", ".raw", ".rw2", ".rwl", ".sr2", ".srf", ".srw", ".x3f",
+)
 
-#: What each analyzer applies to (fixed values).
+#: What each analyzer takes and gives, in the order in which they run (fixed values).
 REGISTRY = (
-    Analyzer("image", _s("jpg jpeg png gif bmp tif tiff webp heic heif avif ico jfif jp2"), ("width_px", "height_px"), ("format", "phash", "ahash", "dhash", "hash_size"), ("PIL", "imagehash")),
-    Analyzer("raw_image", _s("cr2 cr3 crw nef nrw arw srf sr2 dng orf rw2 raf pef ptx x3f 3fr iiq mrw kdc dcr erf mef"), (), ("camera_make", "camera_model", "lens", "iso", "exposure", "aperture", "taken"), ("exifread",)),
-    Analyzer("pdf", _s("pdf"), ("title", "author", "content_created_reported"), ("pages", "encrypted", "has_text", "producer"), ("pypdf",)),
-    Analyzer("office", _s("docx xlsx pptx doc xls ppt"), ("title", "author", "content_created_reported"), ("last_modified_by", "subject", "office_type")),
-    Analyzer("audio", _s("mp3 flac wav m4a aac ogg wma opus aiff"), ("title", "duration_seconds"), ("codec", "bitrate", "artist", "album"), ("ffprobe",)),
-    Analyzer("video", _s("mp4 mkv avi mov wmv flv webm m4v mpg mpeg ts"), ("duration_seconds", "width_px", "height_px"), ("codec", "frame_rate", "bitrate"), ("ffprobe",)),
-    Analyzer("text", _s("txt md"), ("title", "word_count", "char_count"), ("lines", "headings", "tags", "wiki_links", "front_matter")),
-    Analyzer("archive", _s("zip 7z"), (), ("entries", "bytes", "compressed", "ratio", "mode", "truncated")),
-    Analyzer("content_extraction", _s("pdf docx pptx xlsx txt md"), ("word_count", "char_count"), ("text_sha256", "storage", "reused")),
+    Analyzer(
+        "image", (".jpg", ".jpeg", ".jfif", ".png", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".ico", ".heic", ".heif", ".avif", ".jp2"),
+        ("width_px", "height_px"), ("pHash", "aHash", "dHash", "Format", "HashSize"), needs=("PIL", "imagehash"), excluded=RAW_SUFFIXES,
+    ),
+    Analyzer("pdf", (".pdf",), ("title", "author", "content_created_reported"), ("PageCount", "IsEncrypted", "HasExtractableText", "Producer"), needs=("pypdf", "pdfplumber")),
+    Analyzer("office", (".docx", ".xlsx", ".pptx", ".doc", ".xls", ".ppt"), ("title", "author", "content_created_reported"), ("OfficeType", "ExtractionMode", "Modified", "ContentCount")),
+    Analyzer("raw_image", RAW_SUFFIXES, ("content_created_reported",), ("CameraMake", "CameraModel", "ExposureTime", "FNumber", "ISO", "FocalLength"), needs=("exifread",)),
+    Analyzer(
+        "audio", (".mp3", ".wav", ".flac", ".m4a", ".aac", ".ogg", ".wma", ".opus", ".aiff"),
+        ("duration_seconds", "title"), ("Bitrate", "Codec", "SampleRate", "Channels", "Artist", "Album", "Year", "TrackNumber", "Genre"), needs=("ffprobe",),
+    ),
+    Analyzer(
+        "video", (".mp4", ".mkv", ".avi", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".mpg", ".mpeg", ".3gp"),
+        ("duration_seconds", "width_px", "height_px"), ("Bitrate", "VideoCodec", "FrameRate", "AudioCodec"), needs=("ffprobe",),
+    ),
+    Analyzer("text", (".txt", ".md"), ("title", "word_count", "char_count"), ("LineCount", "Encoding", "HasFrontmatter", "HeadingCount", "WikilinkCount", "TagCount")),
+    Analyzer("archive", (".zip", ".7z"), (), ("EntryCount", "TotalUncompressedSize", "TotalCompressedSize", "CompressionRatioPercent")),
+    Analyzer("content_extraction", (".pdf", ".docx", ".pptx", ".xlsx", ".txt", ".md"), ("word_count", "char_count"), ("SourceType", "ExtractedTextFile")),
 )
 
-
-#: Keys as the reference's specifications, stored analyzers and export map state them, each by itself (fixed values).
+#: Keys as the specifications, stored analyzers and export map state them, each by itself (fixed values).
 SPEC_KEYS = ("image", "pdf", "office", "raw_image", "audio", "video", "text", "archive", "content_extraction")
 STORED_KEYS = ("image", "pdf", "office", "raw_image", "audio", "video", "text", "archive", "content_extraction")
 EXPORTS = {"image": "image", "pdf": "pdf", "office": "office", "raw_image": "raw_image", "audio": "audio", "video": "video", "text": "text", "archive": "archive", "content_extraction": "content_index"}
@@ -55,8 +65,8 @@ def available(analyzer: Analyzer) -> bool:
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    rows = [(k, a.key, list(a.suffixes), list(a.promoted), list(a.detail)) for k, a in enumerate(REGISTRY, 1)]
-    return spark.createDataFrame(rows, "ordinal int, analyzer_key string, suffixes array<string>, promoted array<string>, detail array<string>")
+    rows = [(k, a.key, list(a.suffixes), list(a.excluded), list(a.promoted), list(a.detail)) for k, a in enumerate(REGISTRY, 1)]
+    return spark.createDataFrame(rows, "ordinal int, analyzer_key string, suffixes array<string>, excluded array<string>, promoted array<string>, detail array<string>")
 
 
 def by_key(key: str) -> Analyzer:
@@ -65,10 +75,20 @@ def by_key(key: str) -> Analyzer:
 
 def applicable(files: DataFrame, analyzer: Analyzer, excluded: Column | None = None) -> DataFrame:
     """Files whose suffix the analyzer takes and that no exclusion names."""
-    rows = files.where(paths.suffix(F.col("file_name")).isin(*analyzer.suffixes))
+    suffix = paths.suffix(F.col("file_name"))
+    rows = files.where(suffix.isin(*analyzer.suffixes) & ~suffix.isin(*analyzer.excluded)) if analyzer.excluded else files.where(suffix.isin(*analyzer.suffixes))
     return rows.where(~excluded) if excluded is not None else rows
 
 
+def selection(files: DataFrame, spark: SparkSession) -> DataFrame:
+    """(analyzer_key, applicable, excluded) of every analyzer: exclusions are counted first, and are applicable to none."""
+    takes = spark.createDataFrame([(a.key, s, s in a.excluded) for a in REGISTRY for s in dict.fromkeys((*a.excluded, *a.suffixes))], "analyzer_key string, suffix string, is_excluded boolean")
+    found = files.groupBy(paths.suffix(F.col("file_name")).alias("suffix")).agg(F.count("*").alias("n"))
+    rows = takes.join(found, "suffix", "left")  # a row for each suffix that an analyzer names
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    return rows.groupBy("analyzer_key").agg(count(~F.col("is_excluded")).alias("applicable"), count(F.col("is_excluded")).alias("excluded"))
+
+
 def result_status(error: Column) -> Column:
     return F.when(F.coalesce(error, F.lit("")) == "", "analyzed").when(error == "SkippedCloudOnly", "skipped_cloud_only").when(error == "NotProcessed", "not_processed").otherwise("error")
 

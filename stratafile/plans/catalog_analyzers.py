@@ -24,13 +24,23 @@ def texts(spark, sf_dir, only=(1, 2)):
 LINES = r"len(regexp_extract_all(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]')) + CASE WHEN text <> '' AND NOT regexp_matches(text, '[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]$') THEN 1 ELSE 0 END"
 
 
+BREAKS = r"[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+SPLIT = rf"regexp_split_to_array(text, '\r\n|{BREAKS}')"
+HEAD_LINE = r"regexp_matches(x, '^[\t\x1f\p{Zs}]*#{1,6}[\t\x1f\p{Zs}]')"
+SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
+TRIM = lambda t: f"regexp_replace({t}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+FRONT = "CASE WHEN starts_with(text, '---') AND contains(substr(text, 4), chr(10) || '---') THEN string_split(substr(text, 4), chr(10) || '---')[1] ELSE '' END"
+TITLE = "coalesce(nullif(trim(trim(" + TRIM(f"regexp_extract({FRONT}, '(?m)^title:{SPACE}*(.+)$', 1)") + """, '"'), ''''), ''), nullif(""" + TRIM(f"regexp_extract(text, '(?m)^#{SPACE}+(.+)$', 1)") + ", ''))"
+MARKDOWN = f"""{TITLE} AS title, len(list_filter({SPLIT}, lambda x: {HEAD_LINE}))::INT AS headings, len(regexp_extract_all(text, '\\[\\[.*?\\]\\]'))::INT AS wiki_links,
+      coalesce(list_sum(list_transform(list_filter({SPLIT}, lambda x: NOT {HEAD_LINE}), lambda x: len(regexp_extract_all(x, '#[A-Za-z]')))), 0)::INT AS tags, starts_with(text, '---') AS front_matter"""
+
+
 @query(
     "n8_text_stats",
-    f"""SELECT file_id, len(regexp_extract_all(text, '[^{WS}]+'))::INT AS word_count, length(text)::INT AS char_count, ({LINES})::INT AS line_count,
-      len(regexp_extract_all(text, '(?m)^#{{1,6}}[\\t-\\r ]+'))::INT AS headings, len(regexp_extract_all(text, '\\[\\[[^\\[\\]]+\\]\\]'))::INT AS wiki_links FROM {TEXTS}""",
+    f"""SELECT file_id, len(regexp_extract_all(text, '[^{WS}]+'))::INT AS word_count, length(text)::INT AS char_count, ({LINES})::INT AS line_count, {MARKDOWN} FROM {TEXTS}""",
 )
 def n8(spark, sf_dir):
-    return analyzers.text_stats(texts(spark, sf_dir)).select("file_id", "word_count", "char_count", "line_count", "headings", "wiki_links")
+    return analyzers.text_stats(texts(spark, sf_dir)).select("file_id", "word_count", "char_count", "line_count", "title", "headings", "wiki_links", "tags", "front_matter")
 
 
 @query("f17_word_counts", f"SELECT file_id, len(regexp_extract_all(content, '[^{WS}]+'))::INT AS words FROM files WHERE NOT inaccessible")
@@ -44,16 +54,15 @@ def f18(spark, sf_dir):
 
 
 
-
-
 @query(
     "f21_markdown",
-    "SELECT doc_id, 'Title ' || doc_id AS title, 2 AS headings, 1 AS wiki_links, 1 AS tags, doc_id % 2 = 0 AS front_matter FROM documents",
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x y' ELSE 'Title ' || doc_id END AS title, 2 AS headings, 1 AS wiki_links, 2 AS tags, doc_id % 2 = 0 AS front_matter FROM documents",
 )
 def f21(spark, sf_dir):
+    """Made-up bodies with everything in them; ``n8_text_stats`` reads the texts themselves."""
     k = F.col("doc_id")
-    body = F.concat(F.lit("# Title "), k, F.lit("\nsee [[Page "), k % 5, F.lit("]] and #tag"), k % 3, F.lit("\n## Part\n"), F.col("lang"))
-    rows = corpus.read(spark, sf_dir, "documents").select(k, F.when(k % 2 == 0, F.concat(F.lit("---\ntitle: x\n---\n"), body)).otherwise(body).alias("text"))
+    body = F.concat(F.lit("# Title "), k, F.lit("\nsee [[Page "), k % 5, F.lit("]] and #tag"), k % 3, F.lit(" #tag"), k % 3, F.lit("\n  ## Part\n####### none\n"), F.col("lang"))
+    rows = corpus.read(spark, sf_dir, "documents").select(k, F.when(k % 2 == 0, F.concat(F.lit("---\ntitle:  'x y' \n---\n"), body)).otherwise(body).alias("text"))
     return analyzers.text_stats(rows).select("doc_id", "title", "headings", "wiki_links", "tags", "front_matter")
 
 
@@ -67,10 +76,27 @@ def n10(spark, sf_dir):
     return analyzers.extraction(texts(spark, sf_dir), order).select("file_id", "text_sha256", "status", "reused")
 
 
-@query("n11_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{a.key}', {k}, {len(a.suffixes)}, {len(a.promoted)}, {len(a.detail)})" for k, a in enumerate(analyzers.REGISTRY, 1)) + ") t(analyzer_key, ordinal, suffixes, promoted, detail)")
+@query(
+    "n11_registry",
+    """SELECT * FROM (VALUES ('image', 1, 14, 21, 'width_px,height_px', 'pHash,aHash,dHash,Format,HashSize'), ('pdf', 2, 1, 0, 'title,author,content_created_reported', 'PageCount,IsEncrypted,HasExtractableText,Producer'),
+      ('office', 3, 6, 0, 'title,author,content_created_reported', 'OfficeType,ExtractionMode,Modified,ContentCount'), ('raw_image', 4, 21, 0, 'content_created_reported', 'CameraMake,CameraModel,ExposureTime,FNumber,ISO,FocalLength'),
+      ('audio', 5, 9, 0, 'duration_seconds,title', 'Bitrate,Codec,SampleRate,Channels,Artist,Album,Year,TrackNumber,Genre'), ('video', 6, 11, 0, 'duration_seconds,width_px,height_px', 'Bitrate,VideoCodec,FrameRate,AudioCodec'),
+      ('text', 7, 2, 0, 'title,word_count,char_count', 'LineCount,Encoding,HasFrontmatter,HeadingCount,WikilinkCount,TagCount'), ('archive', 8, 2, 0, '', 'EntryCount,TotalUncompressedSize,TotalCompressedSize,CompressionRatioPercent'),
+      ('content_extraction', 9, 6, 0, 'word_count,char_count', 'SourceType,ExtractedTextFile')) t(analyzer_key, ordinal, suffixes, excluded, promoted, detail)""",
+)
 def n11(spark, sf_dir):
     r = analyzers.registry(spark)
-    return r.select("analyzer_key", "ordinal", F.size("suffixes").alias("suffixes"), F.size("promoted").alias("promoted"), F.size("detail").alias("detail"))
+    return r.select("analyzer_key", "ordinal", F.size("suffixes").alias("suffixes"), F.size("excluded").alias("excluded"), F.array_join("promoted", ",").alias("promoted"), F.array_join("detail", ",").alias("detail"))
+
+
+@query(
+    "n11_registry_suffixes",
+    """SELECT analyzer_key, unnest(string_split(list, ' ')) AS suffix FROM (VALUES ('image', '.jpg .jpeg .jfif .png .gif .bmp .tiff .tif .webp .ico .heic .heif .avif .jp2'), ('pdf', '.pdf'), ('office', '.docx .xlsx .pptx .doc .xls .ppt'),
+      ('raw_image', '.3fr .arw .cr2 .cr3 .dng .erf .iiq .kdc .mrw .nef .nrw .orf .pef .raf .raw .rw2 .rwl .sr2 .srf .srw .x3f'), ('audio', '.mp3 .wav .flac .m4a .aac .ogg .wma .opus .aiff'),
+      ('video', '.mp4 .mkv .avi .mov .wmv .flv .webm .m4v .mpg .mpeg .3gp'), ('text', '.txt .md'), ('archive', '.zip .7z'), ('content_extraction', '.pdf .docx .pptx .xlsx .txt .md')) t(analyzer_key, list)""",
+)
+def n11_suffixes(spark, sf_dir):
+    return analyzers.registry(spark).select("analyzer_key", F.explode("suffixes").alias("suffix"))
 
 
 @query("u7_registry_equality", "SELECT 0::BIGINT AS differences")
@@ -94,6 +120,22 @@ def p7(spark, sf_dir):
     return f.groupBy(paths.suffix(F.col("file_name")).alias("suffix")).agg(F.count_if(~out).alias("applicable"), F.count_if(out).alias("excluded"))
 
 
+MADE_NAMES = ".jpg .NEF .pdf .docx .raw .wav .3gp .md .zip .txt .ts".split()
+
+
+@query(
+    "p7_selection_with_exclusions",
+    """SELECT k AS analyzer_key, count(*) FILTER (NOT raw) AS applicable, count(*) FILTER (raw) AS excluded FROM (
+      SELECT k, s IN ('.nef', '.raw') AND k = 'image' AS raw FROM (SELECT ['.jpg', '.nef', '.pdf', '.docx', '.raw', '.wav', '.3gp', '.md', '.zip', '.txt', '.ts'][doc_id % 11 + 1] AS s FROM documents) d
+      JOIN (VALUES ('image', '.jpg'), ('image', '.nef'), ('image', '.raw'), ('pdf', '.pdf'), ('office', '.docx'), ('raw_image', '.nef'), ('raw_image', '.raw'), ('audio', '.wav'), ('video', '.3gp'), ('text', '.md'), ('text', '.txt'),
+        ('archive', '.zip'), ('content_extraction', '.pdf'), ('content_extraction', '.docx'), ('content_extraction', '.md'), ('content_extraction', '.txt')) t(k, want) ON want = s) GROUP BY k""",
+)
+def p7_selection(spark, sf_dir):
+    """Documents under made-up names of eleven kinds; image analysis counts camera files and leaves them to its neighbour."""
+    d = corpus.read(spark, sf_dir, "documents").select(F.concat(F.lit("f"), corpus.pick(F.col("doc_id"), tuple(MADE_NAMES))).alias("file_name"))
+    return analyzers.selection(d, spark)
+
+
 RESULTS = """(SELECT d.doc_id AS file_id, CASE WHEN l.doc_id IS NULL THEN 'not_processed' WHEN l.toxic = 1 THEN 'error' WHEN d.doc_id % 6 IN (3, 4) THEN 'skipped_cloud_only' ELSE 'analyzed' END AS status,
   l.quality, l.toxic, d.n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
@@ -128,7 +170,7 @@ def p5(spark, sf_dir):
 @query(
     "a21_analyzer_counts",
     "SELECT k AS analyzer_key, ordinal, coalesce(analyzed, 0) AS analyzed, coalesce(error, 0) AS error, coalesce(skipped, 0) AS skipped_cloud_only, coalesce(not_processed, 0) AS not_processed, 0::BIGINT AS unmatched FROM (VALUES "
-    + ", ".join(f"('{a.key}', {k})" for k, a in enumerate(analyzers.REGISTRY, 1))
+    + "('image', 1), ('pdf', 2), ('office', 3), ('raw_image', 4), ('audio', 5), ('video', 6), ('text', 7), ('archive', 8), ('content_extraction', 9)"
     + f") t(k, ordinal) LEFT JOIN (SELECT 'text' AS t, count(*) FILTER (status = 'analyzed') AS analyzed, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'skipped_cloud_only') AS skipped, count(*) FILTER (status = 'not_processed') AS not_processed FROM {RESULTS}) r ON r.t = k",
 )
 def a21(spark, sf_dir):
