@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import render
+from ..functions import paths, render
+from ..sources.store import Table, filesystem
 
 BOM = "﻿"
 
@@ -64,15 +68,43 @@ def export_all(artifacts: dict[str, tuple[DataFrame, list[Column]]], folder: str
     return {"written": [k for k, n in counts.items() if n], "skipped": [k for k, n in counts.items() if not n], "row_counts": counts}
 
 
-#: artifact, scope, presentation order (fixed values)
+#: artifact, file, dialect, columns, equivalence, scope (fixed values).
 OUTPUTS = (
-    ("preliminary_inventory", "inventory"), ("canonical_inventory", "inventory"), ("potential_duplicates", "hash"), ("partial_hash_candidates", "hash"),
-    ("duplicate_hash_inventory", "hash"), ("full_hash_inventory", "hash"), ("current_duplicates", "state"), ("archive_contents", "analyzer"),
-)
+    ("preliminary_inventory", "PreliminaryInventory.csv", "powershell", 14, "byte", "run"),
+    ("potential_duplicates", "PotentialDuplicates.csv", "powershell", 6, "byte", "duplicate_run"),
+    ("partial_hash_candidates", "PartialHashCandidates.csv", "powershell", 10, "byte", "duplicate_run"),
+    ("full_hash_inventory", "FullHashInventory.csv", "powershell", 17, "byte", "duplicate_run"),
+    ("duplicate_hash_inventory", "DuplicateHashInventory.csv", "powershell", 18, "byte", "duplicate_run"),
+    ("image", "ImageHashes.csv", "python", 10, "byte", "analyzer_run"),
+    ("pdf", "PDFInventory.csv", "python", 11, "byte", "analyzer_run"),
+    ("office", "OfficeInventory.csv", "python", 11, "byte", "analyzer_run"),
+    ("raw_image", "RawImageInventory.csv", "python", 11, "byte", "analyzer_run"),
+    ("audio", "AudioInventory.csv", "python", 15, "byte", "analyzer_run"),
+    ("video", "VideoInventory.csv", "python", 11, "byte", "analyzer_run"),
+    ("text", "TextFileInventory.csv", "python", 13, "byte", "analyzer_run"),
+    ("archive", "ArchiveInventory.csv", "python", 8, "byte", "analyzer_run"),
+    ("archive_contents", "ArchiveContents.csv", "python", 5, "byte", "analyzer_run"),
+    ("content_index", "ContentIndex.csv", "python", 8, "byte", "analyzer_run"),
+    ("canonical_inventory", "Inventory-Canonical.csv", "python", 32, "data", "project"),
+    ("current_duplicates", "Duplicates-Current.csv", "python", 12, "data", "project"),
+)
+CLASSIFICATION = "A-canonical"
 
 
 def output_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, n, s) for k, (n, s) in enumerate(OUTPUTS, 1)], "ordinal int, artifact string, scope string")
+    """Every artifact as a row; which operator produces it is the artifact's own name."""
+    rows = [(k, *o, CLASSIFICATION) for k, o in enumerate(OUTPUTS, 1)]
+    return spark.createDataFrame(rows, "ordinal int, artifact string, file string, dialect string, columns int, equivalence_target string, scope string, classification string")
+
+
+def stage_artifacts(stage: str) -> list[str]:
+    """The artifacts of a stage's export: the hash stage's, one analyzer's, or all."""
+    if stage == "hash":
+        return [o[0] for o in OUTPUTS if o[5] == "duplicate_run"]
+    if stage == "all":
+        return [o[0] for o in OUTPUTS]
+    own = {"archive": ["archive", "archive_contents"], "content_extraction": ["content_index"]}.get(stage, [stage])
+    return [o[0] for o in OUTPUTS if o[0] in own and o[5] == "analyzer_run"]
 
 
 def write_report(rows: Iterable[str], path: str) -> None:
@@ -83,15 +115,46 @@ def write_report(rows: Iterable[str], path: str) -> None:
             f.write(BOM + "".join(r + "\r\n" for r in rows))
 
 
-def store_texts(texts: DataFrame, path: str) -> DataFrame:
-    """Writes each distinct text once, partitioned by the first shard; (file_id, text_sha256, storage, reused)."""
-    sha = F.sha2(F.encode("text", "UTF-8"), 256)
-    rows = texts.where("text is not null and text <> ''").select("file_id", "text", sha.alias("text_sha256"))
+def store_texts(texts: DataFrame, folder: str) -> DataFrame:
+    """Puts each distinct text into ``ab/cd/<sha>.txt`` below ``folder``, which all executors see; (file_id, text_sha256, storage, reused).
+
+    What is in the store already is left as it is, whichever call put it there.
+    A file appears under its name only when it is complete, so two tasks with
+    the same text do no harm. ``reused`` says that an earlier call or a file
+    with a smaller id had the text first. Texts are written where they are read.
+    """
+    rows = texts.where("text is not null").select("file_id", "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
     firsts = rows.groupBy("text_sha256").agg(F.min("file_id").alias("first"))
-    keep = rows.join(firsts, (rows["text_sha256"] == firsts["text_sha256"]) & (F.col("file_id") == F.col("first")), "left_semi")
-    keep.withColumn("shard1", F.substring("text_sha256", 1, 2)).write.mode("overwrite").partitionBy("shard1").parquet(path)
-    out = rows.select("file_id", "text_sha256").join(firsts, "text_sha256")
-    return out.select("file_id", "text_sha256", F.concat(F.substring("text_sha256", 1, 2), F.lit("/"), F.substring("text_sha256", 3, 2), F.lit("/"), F.col("text_sha256"), F.lit(".txt")).alias("storage"), (F.col("file_id") != F.col("first")).alias("reused"))
+    named = firsts.select("text_sha256", "first", paths.shard_path(F.col("text_sha256")).alias("storage"))
+
+    def look(batches):
+        fs, root = filesystem(folder)
+        for batch in batches:
+            kinds = [x.type for x in fs.get_file_info([f"{root}/{p}" for p in batch.column(2).to_pylist()])] if batch.num_rows else []
+            there = pa.array([k == pa.fs.FileType.File for k in kinds], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, there], names=[*batch.schema.names, "there"])
+
+    known = Table(named.mapInArrow(look, "text_sha256 string, first long, storage string, there boolean"), "stored-texts").df
+
+    def put(batches):
+        fs, root = filesystem(folder)
+        for batch in batches:
+            n = 0
+            for text, path in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                target = f"{root}/{path}"
+                if fs.get_file_info(target).type == pa.fs.FileType.File:
+                    continue
+                fs.create_dir(target.rpartition("/")[0], recursive=True)
+                staging = f"{target}.{uuid.uuid4().hex}.partial"
+                with fs.open_output_stream(staging, compression=None) as f:
+                    f.write(text.as_buffer())
+                fs.move(staging, target)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.select("text", paths.shard_path(F.col("text_sha256")).alias("path")).mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    out = rows.select("file_id", "text_sha256").join(known, "text_sha256")
+    return out.select("file_id", "text_sha256", "storage", (F.col("there") | (F.col("file_id") != F.col("first"))).alias("reused"))
 
 
 def preliminary_report(totals: DataFrame, top_files: DataFrame, top_folders: DataFrame) -> list[str]:

@@ -9,6 +9,7 @@ from ..functions import paths
 from ..operators import duplicates, hashing
 from ..operators.ranking import first_of, numbered
 from ..sources import corpus
+from ..sources.store import once
 from . import history
 from .registry import query
 
@@ -18,7 +19,11 @@ def entries(spark: SparkSession, sf_dir: str, only: tuple[int, ...] = (1,)) -> D
 
 
 def hashed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roots 1 and 2, everything present and freshly digested. The digest is part of the scan; bodies go no further."""
+    """Roots 1 and 2, everything present and freshly digested, as the scan stored it. The digest is part of the scan; bodies go no further."""
+    return once(spark, ("hashed-state", sf_dir), lambda: _hashed_state(spark, sf_dir))
+
+
+def _hashed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.raw(spark, sf_dir, (1, 2)).where(~F.col("inaccessible"))
     sha = rows.withColumn("sha256", hashing.digest(F.col("text")))
     ordinal = F.when(F.col("root_id") == 1, 1).otherwise(2)

@@ -12,7 +12,16 @@ from .catalog_content import entries, hashed_state
 from .registry import query
 
 
-@query("k6_output_map", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}', '{s}')" for k, (n, s) in enumerate(exports.OUTPUTS, 1)) + ") t(ordinal, artifact, scope)")
+@query(
+    "k6_output_map",
+    """SELECT *, 'A-canonical' AS classification FROM (VALUES (1, 'preliminary_inventory', 'PreliminaryInventory.csv', 'powershell', 14, 'byte', 'run'), (2, 'potential_duplicates', 'PotentialDuplicates.csv', 'powershell', 6, 'byte', 'duplicate_run'),
+      (3, 'partial_hash_candidates', 'PartialHashCandidates.csv', 'powershell', 10, 'byte', 'duplicate_run'), (4, 'full_hash_inventory', 'FullHashInventory.csv', 'powershell', 17, 'byte', 'duplicate_run'),
+      (5, 'duplicate_hash_inventory', 'DuplicateHashInventory.csv', 'powershell', 18, 'byte', 'duplicate_run'), (6, 'image', 'ImageHashes.csv', 'python', 10, 'byte', 'analyzer_run'), (7, 'pdf', 'PDFInventory.csv', 'python', 11, 'byte', 'analyzer_run'),
+      (8, 'office', 'OfficeInventory.csv', 'python', 11, 'byte', 'analyzer_run'), (9, 'raw_image', 'RawImageInventory.csv', 'python', 11, 'byte', 'analyzer_run'), (10, 'audio', 'AudioInventory.csv', 'python', 15, 'byte', 'analyzer_run'),
+      (11, 'video', 'VideoInventory.csv', 'python', 11, 'byte', 'analyzer_run'), (12, 'text', 'TextFileInventory.csv', 'python', 13, 'byte', 'analyzer_run'), (13, 'archive', 'ArchiveInventory.csv', 'python', 8, 'byte', 'analyzer_run'),
+      (14, 'archive_contents', 'ArchiveContents.csv', 'python', 5, 'byte', 'analyzer_run'), (15, 'content_index', 'ContentIndex.csv', 'python', 8, 'byte', 'analyzer_run'), (16, 'canonical_inventory', 'Inventory-Canonical.csv', 'python', 32, 'data', 'project'),
+      (17, 'current_duplicates', 'Duplicates-Current.csv', 'python', 12, 'data', 'project')) t(ordinal, artifact, file, dialect, columns, equivalence_target, scope)""",
+)
 def k6(spark, sf_dir):
     return exports.output_map(spark)
 
