@@ -191,12 +191,19 @@ def f13(spark, sf_dir):
     return f.select("file_id", render.flag(F.col("is_offline_or_cloud")).alias("offline"), render.duration(F.coalesce("size_bytes", F.lit(0)) / F.lit(3.0)).alias("duration"))
 
 
+SHOWN = "CASE " + " ".join(f"WHEN b < {1024 ** (k + 1)} THEN (b / {1024**k}.0::DOUBLE)" for k in range(4)) + f" ELSE b / {1024**4}.0::DOUBLE END"
+
+
 @query(
     "f14_human_bytes",
-    "SELECT size_bytes, CASE WHEN size_bytes < 1000 THEN printf('%.2f', size_bytes::DOUBLE) || ' B' WHEN size_bytes < 1024 THEN '1,' || lpad((size_bytes - 1000)::VARCHAR, 3, '0') || '.00 B' ELSE printf('%.2f', round((size_bytes / 1024.0)::DECIMAL(30, 10), 2)::DOUBLE) || ' KB' END AS shown FROM (SELECT DISTINCT size_bytes FROM files WHERE size_bytes < 1000000)",
+    f"""SELECT b AS size_bytes, format('{{:,}}', floor(v)::BIGINT) || printf('.%02d', (v * 100 - floor(v) * 100)::BIGINT) || ' ' || CASE WHEN b < 1024 THEN 'B' WHEN b < 1048576 THEN 'KB' WHEN b < 1073741824 THEN 'MB' WHEN b < 1099511627776 THEN 'GB' ELSE 'TB' END AS shown
+    FROM (SELECT b, round(({SHOWN})::DECIMAL(30, 10), 2) AS v FROM (SELECT DISTINCT size_bytes * m AS b FROM files, (VALUES (1), (4099), (2097169), (8589934609), (3298534883327)) t(m) WHERE size_bytes IS NOT NULL))""",
 )
 def f14(spark, sf_dir):
-    return corpus.files(spark, sf_dir).where("size_bytes < 1000000").select("size_bytes").distinct().select("size_bytes", render.human_bytes(F.col("size_bytes")).alias("shown"))
+    """All sizes, and multiples of them up to terabytes."""
+    sizes = corpus.files(spark, sf_dir).where("size_bytes is not null").select("size_bytes").distinct()
+    sizes = sizes.withColumn("m", F.explode(F.array(*[F.lit(m).cast("long") for m in (1, 4099, 2097169, 8589934609, 3298534883327)]))).select((F.col("size_bytes") * F.col("m")).alias("size_bytes")).distinct()
+    return sizes.select("size_bytes", render.human_bytes(F.col("size_bytes")).alias("shown"))
 
 
 @query("f26_shard_paths", "SELECT file_id, sha[1:2] || '/' || sha[3:4] || '/' || sha || '.txt' AS shard FROM (SELECT file_id, sha256(content) AS sha FROM files WHERE NOT inaccessible AND root_id = 4)")
@@ -285,9 +292,9 @@ def j11(spark, sf_dir):
     return first_of(f.select("folder", "file_id", "modified_utc"), ["folder"], [F.col("modified_utc"), F.col("file_id")], last=True).select("folder", F.col("file_id").alias("newest_file"))
 
 
-@query("s18_bulk_lookup", "SELECT a.doc_id, f.file_id, f.size_bytes FROM (SELECT doc_id, source || '\\' || lang || '\\' || name AS p FROM named WHERE doc_id % 3 = 0) a JOIN files f ON f.root_id = 1 AND f.relative_path = a.p".replace("\\\\", "\\"))
+@query("s18_bulk_lookup", "SELECT a.doc_id, f.file_id, f.size_bytes FROM (SELECT doc_id, source || '\\' || lang || '\\' || name AS p FROM named) a JOIN files f ON f.root_id = 1 AND f.relative_path = a.p".replace("\\\\", "\\"))
 def s18(spark, sf_dir):
-    d = corpus.read(spark, sf_dir, "documents").where("doc_id % 3 = 0")
+    d = corpus.read(spark, sf_dir, "documents")
     wanted = d.select("doc_id", F.concat_ws("\\", "source", "lang", corpus.document_name(F.col("doc_id"))).alias("relative_path"))
     return wanted.join(corpus.files(spark, sf_dir, (1,)), "relative_path").select("doc_id", "file_id", "size_bytes")
 

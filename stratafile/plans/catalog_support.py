@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, render
-from ..operators import analyzers, hashing
-from ..operators.ranking import first_of, numbered
+from ..operators import analyzers, hashing, ingest
+from ..operators.ranking import numbered
 from ..sources import corpus
 from . import history
 from .catalog_analyzers import RESULTS, results
@@ -36,9 +36,9 @@ def j12(spark, sf_dir):
     return corpus.roots(spark).select("root_id", F.rank().over(Window.orderBy(paths.path_key(F.col("root_path")))).cast("long").alias("ordinal"))
 
 
-@query("j17_results_of_an_observation", f"SELECT file_id, count(*) AS results, count(*) FILTER (status = 'analyzed') AS analyzed FROM {RESULTS} WHERE file_id < 100 GROUP BY file_id")
+@query("j17_results_of_an_observation", f"SELECT file_id, count(*) AS results, count(*) FILTER (status = 'analyzed') AS analyzed FROM {RESULTS} GROUP BY file_id")
 def j17(spark, sf_dir):
-    return results(spark, sf_dir).where("file_id < 100").groupBy("file_id").agg(F.count("*").alias("results"), F.count_if(F.col("status") == "analyzed").alias("analyzed"))
+    return results(spark, sf_dir).groupBy("file_id").agg(F.count("*").alias("results"), F.count_if(F.col("status") == "analyzed").alias("analyzed"))
 
 
 @query("a7_partial_buckets_w64", "SELECT size_group_id, partial_group_id, count(*) AS members, min(partial_status) AS partial_status FROM selective WHERE partial_group_id IS NOT NULL GROUP BY ALL", window=64)
@@ -101,7 +101,7 @@ def f31(spark, sf_dir):
 def i3s(spark, sf_dir):
     """Appended in two batches that overlap: an event counts once."""
     e = events(spark, sf_dir).select("event_id", "run_id", F.col("event_type").alias("kind"))
-    again = e.where("event_id % 2 = 0").unionByName(e).dropDuplicates(["run_id", "kind", "event_id"])
+    again = ingest.append_new(e.where("event_id % 2 = 0"), e, ["run_id", "kind", "event_id"])
     return again.groupBy("run_id", "kind").agg(F.count("*").alias("seen"))
 
 
@@ -110,7 +110,7 @@ def i8s(spark, sf_dir):
     """A second ingest of some keys replaces what the first one left for them."""
     old = results(spark, sf_dir).select("file_id", F.lit(1).alias("version"), "status")
     new = results(spark, sf_dir).where("file_id % 2 = 0").select("file_id", F.lit(2).alias("version"), "status")
-    return old.join(new.select("file_id"), "file_id", "left_anti").unionByName(new)
+    return ingest.replace_keys(old, new, ["file_id"])
 
 
 @query("x2_root_registration", r"SELECT lower(p) AS root_key, row_number() OVER (ORDER BY lower(p)) + 4 AS root_id FROM (SELECT DISTINCT lower('E:\' || source) AS p FROM documents)")
@@ -125,26 +125,32 @@ def x2(spark, sf_dir):
 @query("x4_insert_or_ignore", "SELECT user_id AS scan_id, event_id % 50 AS location, min(event_id) AS kept FROM events GROUP BY ALL")
 def x4(spark, sf_dir):
     e = events(spark, sf_dir).select(F.col("run_id").alias("scan_id"), (F.col("event_id") % 50).alias("location"), "event_id")
-    return first_of(e, ["scan_id", "location"], [F.col("event_id")]).select("scan_id", "location", F.col("event_id").alias("kept"))
+    return ingest.insert_or_ignore(e, ["scan_id", "location"], [F.col("event_id")]).select("scan_id", "location", F.col("event_id").alias("kept"))
 
 
-@query("x7_flags_normalised", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 3 = 1 END AS flag FROM events")
+@query("x7_flags_normalised", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false WHEN 5 THEN NULL ELSE true END AS flag FROM events")
 def x7(spark, sf_dir):
     e = corpus.read(spark, sf_dir, "events").select("event_id")
-    raw = F.when(F.col("event_id") % 3 == 0, None).when(F.col("event_id") % 3 == 1, "1").otherwise("0")
-    return e.select("event_id", raw.try_cast("boolean").alias("flag"))
+    raw = F.get(F.array(*[F.lit(x) for x in (None, "1", "0", " True", "NO", "maybe", "yes ")]), (F.col("event_id") % 7).cast("int"))
+    return e.select("event_id", ingest.flag_value(raw).alias("flag"))
 
 
-@query("x9_isolated_failures", "SELECT file_id, CASE WHEN NOT inaccessible THEN upper(sha256(content)) END AS digest, CASE WHEN inaccessible THEN 'ACCESS DENIED' END AS error_kind FROM files WHERE root_id = 1")
+@query("x9_isolated_failures", "SELECT doc_id AS file_id, CASE WHEN doc_id % 3 = 0 THEN 'FILE MISSING' ELSE 'NOT A FILE' END AS error_kind, NULL::VARCHAR AS digest FROM documents")
 def x9(spark, sf_dir):
-    rows, lost = corpus.raw(spark, sf_dir, (1,)), F.col("inaccessible")
-    return rows.select("file_id", F.when(~lost, hashing.digest(F.col("text"))).alias("digest"), F.when(lost, "ACCESS DENIED").alias("error_kind"))
+    """Every read fails, for real: of a name that isn't there or a folder; each failure is its own row and none stops the others."""
+    from ..sources.filesystem import hash_files
+
+    d = corpus.read(spark, sf_dir, "documents").select("doc_id")
+    gone = F.col("doc_id") % 3 == 0
+    asked = d.select(F.lit("/").alias("root_path"), F.concat(F.when(gone, F.lit("no-such-folder/")).otherwise(F.lit("tmp/../")), F.when(gone, F.col("doc_id").cast("string")).otherwise(F.lit(""))).alias("relative_path"), "doc_id")
+    found = hash_files(asked.select("root_path", "relative_path").distinct())
+    return asked.join(found, ["root_path", "relative_path"]).select(F.col("doc_id").alias("file_id"), "error_kind", "digest")
 
 
 @query("x10_one_run_per_mode", "SELECT root_id, mode, max(run_id) AS run_id FROM (SELECT user_id % 4 AS root_id, CASE WHEN event_id % 2 = 0 THEN 'selective' ELSE 'exhaustive' END AS mode, user_id AS run_id FROM events) GROUP BY ALL")
 def x10(spark, sf_dir):
     e = events(spark, sf_dir).select((F.col("run_id") % 4).alias("root_id"), F.when(F.col("event_id") % 2 == 0, "selective").otherwise("exhaustive").alias("mode"), "run_id")
-    return first_of(e, ["root_id", "mode"], [F.col("run_id")], last=True).select("root_id", "mode", "run_id")
+    return ingest.open_run(e, ["root_id", "mode"], F.col("run_id")).select("root_id", "mode", "run_id")
 
 
 @query("x11_measurements_with_content_w64", "SELECT s.file_id, coalesce(s.full_hash, CASE WHEN s.size_bytes <= 64 THEN s.partial_hash END) AS sha256, s.final_status FROM selective s WHERE s.size_group_id IS NOT NULL", window=64)
@@ -157,7 +163,7 @@ def x11(spark, sf_dir):
 @query("x15_child_parents", "SELECT c.conv_id AS archive_id, c.turn, p.first_role FROM conversations c JOIN (SELECT conv_id, arg_min(role, turn) AS first_role FROM conversations GROUP BY 1) p ON p.conv_id = c.conv_id")
 def x15(spark, sf_dir):
     c = corpus.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("archive_id"), "turn", "role")
-    return c.join(c.groupBy("archive_id").agg(F.min_by("role", "turn").alias("first_role")), "archive_id").select("archive_id", "turn", "first_role")
+    return ingest.with_parents(c, c.groupBy("archive_id").agg(F.min_by("role", "turn").alias("first_role")), "archive_id", ["first_role"]).select("archive_id", "turn", "first_role")
 
 
 @query("x18_full_paths", r"SELECT f.file_id, r.root_path || '\' || f.relative_path AS full_path FROM files f JOIN roots r USING (root_id)")
@@ -175,7 +181,7 @@ def x23(spark, sf_dir):
 def x27(spark, sf_dir):
     """Errors of the ingest never fail the run: they make warnings."""
     e = events(spark, sf_dir).groupBy("run_id").agg(F.count_if(F.col("severity") == "error").alias("bad"))
-    return e.select("run_id", F.lit("inventory_ingest").alias("stage_key"), F.when(F.col("bad") > 0, "completed_with_warnings").otherwise("completed").alias("status"))
+    return e.select("run_id", F.lit("inventory_ingest").alias("stage_key"), ingest.stage_outcome(F.col("bad"), fatal=False).alias("status"))
 
 
 @query("n8_analyzer_report", r"SELECT ext AS suffix, sum(n)::BIGINT AS chars, count(*) AS files FROM (SELECT lower(regexp_extract(file_name, '^.+(\.[^.]+)$', 1)) AS ext, length(content) AS n FROM files WHERE NOT inaccessible AND root_id IN (1, 2)) WHERE ext IN ('.txt', '.md') GROUP BY ext")

@@ -74,11 +74,6 @@ def test_random_against_model(spark):
         assert result(found) == model(texts, 8, clouds)
 
 
-def test_bodies_stay_out_of_exchanges_without_need(spark):
-    plan = hashing.size_groups(rows(spark, ["a", "b"]).drop("text", "walk"))._jdf.queryExecution().optimizedPlan().toString()
-    assert "sha2" not in plan
-
-
 def test_partial_digest_is_identity_only_if_it_covers_the_file(spark):
     df = spark.createDataFrame([("F", "P", 10), (None, "P", 10), (None, "P", 99), (None, None, 1)], "f string, p string, s long")
     sha, source = hashing.identity(F.col("f"), F.col("p"), F.col("s"), 64)
