@@ -48,7 +48,7 @@ WORDS = 5
 SAMPLES, BANDS = 128, 32
 BITS, FAR_BITS = 512, 100
 FINE_BITS = 8192
-BLOCK = 2048
+BLOCK = 512
 LEAST_PERCENT = 75
 CACHED_WORDS = 500_000
 
