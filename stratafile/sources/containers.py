@@ -86,6 +86,13 @@ def image_size(head: bytes) -> tuple[str, int, int] | None:
     return None
 
 
+def grey_matrix(image):
+    """The grey values of a decoded image as rows."""
+    import numpy as np
+
+    return np.asarray(image, float)
+
+
 def average_hash(grey, side: int = 8) -> str:
     """Hash of a grey matrix by comparing cell means with the overall mean."""
     cells = _cells(grey, side, side)
@@ -125,6 +132,40 @@ def rtf_field(text: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, r"\{\\" + name + r" ([^{}\\]*)\}", 1)), F.lit(""))
 
 
+def rtf_info(text: str) -> dict[str, str]:
+    """Info fields of an RTF: texts as they stand, dates as ISO seconds."""
+    out = {k: m[1].strip() for k in ("title", "author", "subject") if (m := re.search(r"\{\\" + k + r" ([^{}\\]*)\}", text))}
+    for k in ("creatim", "revtim"):
+        if m := re.search(r"\{\\" + k + r"((?:\\(?:yr|mo|dy|hr|min|sec)\d+)+)\}", text):
+            told = {n: int(v) for n, v in re.findall(r"\\(yr|mo|dy|hr|min|sec)(\d+)", m[1])}
+            out[k] = f"{told.get('yr', 1):04d}-{told.get('mo', 1):02d}-{told.get('dy', 1):02d}T{told.get('hr', 0):02d}:{told.get('min', 0):02d}:{told.get('sec', 0):02d}"
+    return out
+
+
+#: Byte order marks and their encodings, the longer first (fixed values).
+MARKS = ((b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+
+
+def decode_bytes(content: bytes) -> tuple[str, str]:
+    """(text, encoding): by a byte order mark, as UTF-8, by a detector where one is installed, else byte by byte."""
+    for mark, name in MARKS:
+        if content.startswith(mark):
+            return content[len(mark) :].decode(name, "replace"), name
+    try:
+        return content.decode("utf-8"), "utf-8"
+    except UnicodeDecodeError:
+        pass
+    try:
+        import charset_normalizer
+
+        best = charset_normalizer.from_bytes(content).best()
+        if best is not None:
+            return str(best), best.encoding
+    except ImportError:
+        pass
+    return content.decode("latin-1"), "latin-1"
+
+
 def decode(content: Column) -> Column:
     """Bytes to text: byte order marks (UTF-32 first), then UTF-8, then Latin-1."""
     h = F.hex(F.substring(content, 1, 4))
