@@ -58,6 +58,6 @@ def estimate(files: DataFrame, rate: float = FALLBACK_RATE, where: str = "local"
 
 
 def with_full_path(files: DataFrame, roots: DataFrame) -> DataFrame:
-    rows = files.join(F.broadcast(roots.select("root_id", "root_path")), "root_id")
+    rows = files.join(roots.select("root_id", "root_path"), "root_id")
     full = paths.join(F.col("root_path"), F.col("relative_path"))
     return rows.withColumn("full_path", full).withColumn("path_length", paths.utf16_length(full))

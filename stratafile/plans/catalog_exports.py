@@ -76,7 +76,7 @@ def j3(spark, sf_dir):
     e = entries(spark, sf_dir)
     r = hashing.selective(e, 64)
     groups = hashing.duplicate_groups(r).select("duplicate_group_id", F.col("member_count").alias("members"))
-    rows = r.join(e.select("file_id", "root_id", "relative_path"), "file_id").join(F.broadcast(corpus.roots(spark)), "root_id").join(groups, "duplicate_group_id", "left")
+    rows = r.join(e.select("file_id", "root_id", "relative_path"), "file_id").join(corpus.roots(spark), "root_id").join(groups, "duplicate_group_id", "left")
     return rows.select("file_id", "relative_path", "root_path", "final_status", "members")
 
 

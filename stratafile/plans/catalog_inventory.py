@@ -227,7 +227,7 @@ def j10(spark, sf_dir):
     known = spark.createDataFrame([(1, r"C:\Data"), (2, r"C:\Data\Photos"), (3, r"D:\Web")], "root_id int, root_path string")
     p = paths.parts(paths.path_key(F.col("path")))
     up = asked.select("file_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, 1, i), "\\"))).alias("key"))
-    hits = up.join(F.broadcast(known.select("root_id", paths.path_key(F.col("root_path")).alias("key"))), "key")
+    hits = up.join(known.select("root_id", paths.path_key(F.col("root_path")).alias("key")), "key")
     best = hits.groupBy("file_id").agg(F.max_by("root_id", F.length("key")).alias("best"))
     return asked.select("file_id").join(best, "file_id", "left").select("file_id", F.coalesce("best", F.lit(1)).alias("root_id"), F.col("best").isNull().alias("unmatched"))
 
