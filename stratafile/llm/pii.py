@@ -217,11 +217,15 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def base_numbers(spans: str) -> list[Column]:
+    """How many spans of each base kind a column of spans has."""
+    count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    return [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
+
+
 def report(found: DataFrame) -> DataFrame:
     """Counts and lists of a result of :func:`find`."""
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *base_numbers("base"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

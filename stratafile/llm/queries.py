@@ -70,12 +70,42 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the quality rules that SQL can say: base counts of whole texts."""
+    rows = quality_rules.with_words(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return quality_rules.base_counts(rows).select("doc_id", *quality_rules.COUNTS)
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the personal data that SQL can say: how many base spans of each kind a whole text has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    spans = docs.select("doc_id", pii.base_spans(F.col("text")).alias("base"))
+    return spans.select("doc_id", *pii.base_numbers("base"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree_near_dedup, op2_pairwise_gam_quality, op3_url_rule_sweep, op4_best_fit_packing, op5_ngram_ratio_rules, op6_bpe_round_trip, op7_odd_sketch_near_dedup, op8_warc_round_trip, op9_weighted_tree_sharding, op10_bootstrapped_pii)}
+    return {f.__name__: f for f in (quality_base_counts, pii_base_counts, op1_cover_tree_near_dedup, op2_pairwise_gam_quality, op3_url_rule_sweep, op4_best_fit_packing, op5_ngram_ratio_rules, op6_bpe_round_trip, op7_odd_sketch_near_dedup, op8_warc_round_trip, op9_weighted_tree_sharding, op10_bootstrapped_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "quality_base_counts": r"""
+            WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+            g AS (SELECT doc_id, i, array_to_string(words[i:i+4], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1))) AS i FROM w)),
+            again AS (SELECT doc_id, win FROM g GROUP BY doc_id, win HAVING count(*) > 1),
+            c AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT g.doc_id, unnest(range(g.i, g.i + 5)) AS p FROM g JOIN again USING (doc_id, win)) GROUP BY doc_id),
+            f AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id))
+            SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f""",
+        "pii_base_counts": r"""
+            WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+            m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+              list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM t)
+            SELECT doc_id, len(email)::BIGINT AS n_email,
+              len(list_filter(ip, lambda x: NOT list_contains(list_transform(string_split(x, '.'), lambda p: coalesce(TRY_CAST(p AS BIGINT) <= 255, false)), false)))::BIGINT AS n_ip,
+              len(list_filter(card, lambda d: length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda k: CASE WHEN k % 2 = 0 THEN CAST(substr(d, length(d) - k, 1) AS INT)
+                WHEN CAST(substr(d, length(d) - k, 1) AS INT) > 4 THEN 2 * CAST(substr(d, length(d) - k, 1) AS INT) - 9 ELSE 2 * CAST(substr(d, length(d) - k, 1) AS INT) END)) % 10 = 0))::BIGINT AS n_card,
+              len(list_filter(phone, lambda d: length(d) BETWEEN 10 AND 15))::BIGINT AS n_phone FROM m""",
         "op1_cover_tree_near_dedup": """
             WITH RECURSIVE v AS (
               SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
