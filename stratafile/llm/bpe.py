@@ -32,8 +32,8 @@ SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: The pre-tokenizer's pattern (fixed values).
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
-#: What a worker's cache of units may take, counted with what Python adds to each entry.
-CACHE_BYTES = 64 << 20
+#: What a worker's cache of units may take in all, counted with what Python adds to each entry.
+CACHE_BYTES = 128 << 20
 ENTRY_BYTES = 230
 #: Marks that end words; none is a letter, a number, white space or an apostrophe.
 MARKS = ".,;:!?#*$%&|"
@@ -158,7 +158,10 @@ class Encoder:
         import re
 
         self.backend = backend
-        self.inner: dict[str, bytes] = {}  # by what follows a space; a first unit is kept under a space and itself
+        # by what follows a space; a first unit is kept under a space and itself. When half of the bytes are used, what is
+        # there becomes the older half and the half before it goes; a unit that is met again moves up
+        self.inner: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         self.cuts = re.compile(r"(?<=\S) (?=\S)").split
         self.by_special = re.compile("(" + "|".join(map(re.escape, sorted(backend.special, key=len, reverse=True))) + ")").split if backend.special else None
@@ -184,40 +187,47 @@ class Encoder:
             except KeyError:
                 pass
         missing = set(rest).difference(inner)
+        older = self.older
+        again = {u: older[u] for u in missing if u in older}
+        missing.difference_update(again)
         if not first or rest and first[-1].isspace() or any(not u or u[0].isspace() or u[-1].isspace() for u in missing):
             first, *rest = self.cuts(text)  # white space beside a space: no cut there, and such units stay out of the cache
             return self._first(first) + b"".join(self._packed([" " + u for u in rest]))
-        here = {u: inner[u] for u in set(rest) - missing}
+        here = {u: inner[u] for u in set(rest) if u in inner} | again
         here |= (fresh := self._fresh(missing))
         data = b"".join([here[u] for u in rest])
+        self._keep(again)
         self._keep(fresh)
         return self._first(first) + data
 
     def _keep(self, fresh: dict[str, bytes]) -> None:
-        """Puts units into the cache, which starts anew when it is full."""
+        """Puts units into the newer half of the cache."""
         for unit, ids in fresh.items():
             if len(unit) <= LONGEST_CACHED and unit not in self.inner:
                 cost = ENTRY_BYTES + 2 * len(unit) + len(ids)
-                if self.held + cost > CACHE_BYTES:
-                    self.inner.clear()
-                    self.held = 0
+                if self.held + cost > CACHE_BYTES // 2:
+                    self.older, self.inner, self.held = self.inner, {}, 0
                 self.held += cost
                 self.inner[unit] = ids
 
+    def _known(self, unit: str) -> bytes | None:
+        return self.inner.get(unit) or self.older.get(unit)
+
     def _fresh(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of units after a space. Letters and the marks after them are pre-tokens of their own, each looked up by itself."""
-        whole, composed = [], []
+        whole, composed, known = [], [], {}
         for unit in missing:
             stem = unit.rstrip(MARKS)
             if len(stem) < len(unit) and stem.isalpha():
                 composed.append((unit, stem))
-                if stem not in self.inner and stem not in missing:
-                    whole.append(stem)
+                if stem not in known and stem not in missing:
+                    if (ids := self._known(stem)) is not None:
+                        known[stem] = ids
+                    else:
+                        whole.append(stem)
             else:
                 whole.append(unit)
         whole = list(dict.fromkeys(whole))
-        # looked up before anything new is kept, which may empty the cache
-        known = {stem: self.inner[stem] for _, stem in composed if stem in self.inner}
         marks = {m: self._first(m) for m in {unit[len(stem) :] for unit, stem in composed}}
         fresh = dict(zip(whole, self._spaced(whole), strict=True))
         for unit, stem in composed:
@@ -226,7 +236,7 @@ class Encoder:
 
     def _first(self, unit: str) -> bytes:
         """Ids of a text's first unit, which has no space before it."""
-        found = self.inner.get(" " + unit)
+        found = self._known(" " + unit)
         if found is None:
             found = self._packed([unit])[0]
             self._keep({" " + unit: found})
