@@ -136,7 +136,8 @@ class LibraryBackend:
         self.special = {x.content: i for i, x in self.library.get_added_tokens_decoder().items()}
         vocabulary = self.library.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
-        self.begins[[i for token, i in vocabulary.items() if token[0] == byte_letters()[32]]] = True
+        space = byte_letters()[32]
+        self.begins[[i for token, i in vocabulary.items() if token[0] == space]] = True
 
     def spaced(self, units: list[str]) -> list[bytes]:
         """Packed ids of units that each follow a space and hold none: one call for all, cut where a token begins with a space."""
