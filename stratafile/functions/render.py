@@ -47,6 +47,14 @@ def human_bytes(n: Column) -> Column:
     return out
 
 
+def fixed(x: Column, places: int) -> Column:
+    """A double as C prints it: its binary value to the nearest, exact ties to even. ``format_string`` rounds the shortest decimal half up instead.
+
+    Digits beyond the shortest decimal (about 16 in all) are zeros.
+    """
+    return F.call_function("format_number", x, F.lit("0." + "0" * places))
+
+
 def clock(seconds: Column) -> Column:
     s = seconds.cast("long")
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)

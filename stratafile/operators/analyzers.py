@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths, text
+from ..functions import paths, render, text
 
 PROMOTED = ("title", "author", "content_created_reported", "width_px", "height_px", "duration_seconds", "word_count", "char_count")
 
@@ -142,8 +142,10 @@ def archive_members(entries: DataFrame, cap: int = 10_000) -> DataFrame:
 
 
 def archive_summary(entries: DataFrame, cap: int = 10_000, summary_from: int = 100_000) -> DataFrame:
-    size = lambda f: F.aggregate("entries", F.lit(0).cast("long"), lambda a, e: a + F.coalesce(e[f], F.lit(0)))  # noqa: E731, B023
+    """One row for each archive; sizes are sums of the known ones, and null if there are entries but none's size is known."""
     n = F.size("entries")
+    known = lambda f: F.aggregate("entries", F.lit(None).cast("long"), lambda a, e: F.coalesce(a + e[f], a, e[f]))
+    size = lambda f: F.when(n == 0, F.lit(0).cast("long")).otherwise(known(f))
     rows = entries.select("archive_id", n.alias("entries"), size("size").alias("bytes"), size("compressed").alias("compressed"), F.when(n > summary_from, "summary_only").when(n > cap, "capped").otherwise("complete").alias("mode"))
-    ratio = F.when(F.col("bytes") > 0, F.format_string("%.1f", 100.0 * (1 - F.col("compressed") / F.col("bytes"))))
+    ratio = F.when(F.col("bytes") > 0, render.fixed(100.0 * (1 - F.col("compressed") / F.col("bytes")), 1))
     return rows.select("*", ratio.alias("ratio"), (F.col("mode") != "complete").alias("truncated"))
