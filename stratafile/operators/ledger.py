@@ -61,8 +61,8 @@ def stale_runs(runs: DataFrame, now: Column, seconds: int = STALE_SECONDS) -> Da
     Before its first heartbeat a run was heard when it ``started``, if ``runs`` has that.
     """
     heard = F.coalesce("heartbeat", "started") if "started" in runs.columns else F.col("heartbeat")
-    age = F.unix_seconds(now) - F.unix_seconds(heard)
-    why = F.when(F.col("alive") == F.lit(False), "process_gone").when(age.isNull() | (age > seconds), "heartbeat_expired")
+    age = F.unix_micros(now) - F.unix_micros(heard)
+    why = F.when(F.col("alive") == F.lit(False), "process_gone").when(age.isNull() | (age > seconds * 1_000_000), "heartbeat_expired")
     return runs.where("ended is null").withColumn("reason", why).where("reason is not null")
 
 

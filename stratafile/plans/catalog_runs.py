@@ -86,11 +86,15 @@ def a29(spark, sf_dir):
       SELECT run_id, CASE WHEN run_id % 11 <> 0 THEN max(ts) END AS beat FROM {EVENTS} GROUP BY run_id) WHERE run_id % 7 <> 0 AND (run_id % 5 = 0 OR beat IS NULL OR epoch((SELECT max(ts) FROM events)) - epoch(beat) > 180)""",
 )
 def i5s(spark, sf_dir):
-    """Heartbeats are events; every fifth run's process is known dead, of every second other one nothing is known, every eleventh was never heard."""
+    """Heartbeats are events; every fifth run's process is known dead, of every second other one nothing is known, every eleventh was never heard.
+
+    Every seventh has ended, also if no time is known. Events of no run count for the time of now alone.
+    """
     e = events(spark, sf_dir)
     k = F.col("run_id")
-    runs = e.groupBy("run_id").agg(F.max("event_time").alias("heartbeat"))
-    runs = runs.select("run_id", F.when(k % 11 != 0, F.col("heartbeat")).alias("heartbeat"), F.when(k % 5 == 0, False).when(k % 2 == 0, True).alias("alive"), F.when(k % 7 == 0, F.col("heartbeat")).alias("ended"))
+    runs = e.where(k.isNotNull()).groupBy("run_id").agg(F.max("event_time").alias("heartbeat"))
+    ended = F.when(k % 7 == 0, F.coalesce("heartbeat", F.timestamp_seconds(F.lit(0))))
+    runs = runs.select("run_id", F.when(k % 11 != 0, F.col("heartbeat")).alias("heartbeat"), F.when(k % 5 == 0, False).when(k % 2 == 0, True).alias("alive"), ended.alias("ended"))
     now = e.agg(F.max("event_time").alias("now")).withColumn("one", F.lit(1))
     return ledger.stale_runs(runs.withColumn("one", F.lit(1)).join(F.broadcast(now), "one"), F.col("now")).select("run_id", "reason")
 
